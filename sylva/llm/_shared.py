@@ -83,4 +83,6 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents. Arrow batches of texts are held to 8 MB, that Python workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
