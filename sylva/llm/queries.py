@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from sylva.llm import jaccard_join
+from sylva.llm import jaccard_join, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
 SQL: dict[str, str] = {}
