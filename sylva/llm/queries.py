@@ -1,9 +1,11 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from sylva.llm import jaccard_join, toxicity
+from sylva.llm import jaccard_join, line_dedup, packing, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL}
