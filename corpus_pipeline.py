@@ -4,15 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import jaccard_join
-from sylva.llm._shared import documents, stored
+from sylva.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
+from sylva.llm._shared import DOCUMENTS, documents, stored
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine doesn't reject."""
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that spread over many sites."""
+    return line_dedup.clean_lines(docs).select(*DOCUMENTS)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
     return jaccard_join.keep_one(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in bins."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("line_dedup", clean_lines), ("ngram_jaccard_join", keep_one), ("benchmark_decontamination", drop_leaks), ("best_fit_packing", pack)]
+#: Learned weights and latent directions are beyond SQL; tests/llm hold the run against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from sylva.llm import jaccard_join, line_dedup, packing, toxicity
+from sylva.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
 
 QUERIES = {
+    "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op2_toxicity": toxicity.op2_toxicity,
