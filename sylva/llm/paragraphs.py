@@ -3,10 +3,12 @@
 Passages are pasted anywhere, so paragraphs are cut where the text itself says: LENGTH
 words from each anchor, an anchor being the word whose n-gram hash is least among WINDOW
 neighbours. Anchors lie at most WINDOW words apart, so paragraphs cover the text, and
-any passage of LENGTH + WINDOW - 1 = 47 words that two texts share has a paragraph that
-both of them cut alike. MinHash bands bring near copies together; colliding paragraphs
-are verified by the exact Jaccard similarity of their shingles, and connected components
-of verified pairs, each with all its exact repeats, keep their first occurrence.
+any passage of LENGTH + WINDOW - 1 = 51 words that two texts share has a paragraph that
+both of them cut alike. Exact repeats are counted by hash, so that each paragraph is
+banded once. MinHash bands bring near copies together, but for neighbours that overlap in
+the one text where all of a band's members first stand; colliding paragraphs are verified by the exact
+Jaccard similarity of their shingles, and connected components of verified pairs, each
+with all its exact repeats, keep their first occurrence.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from sylva.llm._tokens import _NGRAM, mix, over, ngrams, slices, tokenize
 from sylva.llm.components import components
 from sylva.llm.jaccard_join import _groups
 
-LENGTH, WINDOW, SHINGLE = 24, 24, 4
+LENGTH, WINDOW, SHINGLE = 20, 32, 4
 THRESHOLD, RECALL = 0.6, 0.93
 _SHINGLES = LENGTH - SHINGLE + 1
+#: Members of a group up to which all its pairs are compared at once.
+_FEW = 12
 
 
 def tune(threshold: float, recall: float, most: int = 4) -> tuple[int, int]:
@@ -118,66 +122,88 @@ def _shingled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"ph": pa.array(want[same]), "shingles": pa.array([x.tobytes() for x in (shingles[same] >> np.uint64(32)).astype(np.uint32)], pa.binary())})
 
 
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of rows of sorted shingles, repeats counted once."""
+    new_a, new_b = (np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], 1) for x in (a, b))
+    both = ((a[:, :, None] == b[:, None, :]).any(2) & new_a).sum(1)
+    return both / (new_a.sum(1) + new_b.sum(1) - both)
+
+
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verified pairs, of which a group gives those that first connect its members."""
+    """Verified pairs; of a large group those that first connect its members."""
     for t in _groups(batches, "key"):
         key, ph = t.column("key").to_numpy(), t.column("ph").to_numpy()
-        shingles = np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint32).reshape(-1, _SHINGLES)
+        shingles = np.sort(np.frombuffer(b"".join(t.column("shingles").to_pylist()), np.uint32).reshape(-1, _SHINGLES), 1)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(starts, len(key)))
         left, right = [], []
-        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
-            if e - s < 2:
-                continue
-            words, code = np.unique(shingles[s:e], return_inverse=True)
-            code = code.reshape(e - s, _SHINGLES)
-            group = np.arange(e - s)
-            distinct = np.array([len(np.unique(c)) for c in code])
-            order = np.argsort(code.ravel(), kind="stable")
-            holder = (order // _SHINGLES).astype(np.int64)
-            bound = np.searchsorted(code.ravel()[order], np.arange(len(words) + 1))
-            for i in range(e - s - 1):
-                holders = np.concatenate([np.unique(holder[bound[c] : bound[c + 1]]) for c in np.unique(code[i])])
-                both = np.bincount(holders, minlength=e - s)
-                j = np.flatnonzero(both / (distinct[i] + distinct - both) >= THRESHOLD)
-                for k in j[j > i]:
-                    if group[k] != group[i]:
-                        group[group == group[k]] = group[i]
-                        left.append(ph[s + i])
-                        right.append(ph[s + k])
+        for n in np.unique(size[(size > 1) & (size <= _FEW)]):
+            i, j = np.triu_indices(n, 1)
+            at = starts[size == n]
+            for some in np.array_split(at, len(at) * len(i) // 4096 + 1):
+                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                ok = _alike(shingles[x], shingles[y]) >= THRESHOLD
+                left.append(ph[x[ok]])
+                right.append(ph[y[ok]])
+        for s, n in zip(starts[size > _FEW], size[size > _FEW], strict=True):
+            own = shingles[s : s + n]
+            words, code = np.unique(own, return_inverse=True)
+            code = code.reshape(n, _SHINGLES)
+            new = np.concatenate([np.ones((n, 1), bool), own[:, 1:] != own[:, :-1]], 1)
+            distinct = new.sum(1)
+            holder, word = np.nonzero(new)
+            word = code[holder, word]
+            order = np.argsort(word, kind="stable")
+            holder, bound = holder[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+            group = np.arange(n)
+            for i in range(n - 1):
+                both = np.bincount(np.concatenate([holder[bound[c] : bound[c + 1]] for c in code[i][new[i]]]), minlength=n)
+                k = np.flatnonzero(both / (distinct[i] + distinct - both) >= THRESHOLD)
+                k = k[(k > i) & (group[k] != group[i])]
+                if len(k):
+                    _, first = np.unique(group[k], return_index=True)
+                    left.append(np.full(len(first), ph[s + i]))
+                    right.append(ph[s + k[first]])
+                    group[np.isin(group, group[k])] = group[i]
         if left:
-            yield pa.record_batch({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+            yield pa.record_batch({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, words, kept_doc_ids): spans of words that repeat, exactly or nearly, an earlier passage.
 
     Of a cluster's occurrences that of least doc_id and start stays; kept_doc_ids lists the
-    documents where what a span repeats is kept, its own among them if it repeats itself.
-    Overlapping spans are merged. Null and empty texts, texts of under LENGTH words and rows
+    documents where what a span repeats is kept, its own among them if it repeats itself. A
+    span reaches from the first to the last whole paragraph that repeats, so up to WINDOW - 1 words of
+    a passage may stand out at either end. Overlapping spans are merged. Null and empty texts, texts of under LENGTH words and rows
     of null doc_id have no spans. Repeated rows count once.
     """
     spark = docs.sparkSession
     d = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     names = [f"k{k}" for k in range(BANDS)]
-    cut = stored(d.mapInArrow(_cut, "doc_id bigint, start int, ph bigint, " + ", ".join(f"{n} bigint" for n in names)), "paragraphs")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = cut.select("ph", F.explode(F.array(*names)).alias("key")).repartition(parts, "key").groupBy("key", "ph").agg(F.count(F.lit(1)).alias("n"))
-    keyed = keyed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1 or n > 1")
-    keyed = stored(keyed, "colliding")
-    alike = keyed.select("ph").distinct()
-    occur = stored(cut.select("doc_id", "start", "ph").join(small(alike, 8), "ph").distinct(), "occurrences")
-
-    near = keyed.filter("members > 1").select("key", "ph")
-    asked = occur.join(near.select("ph").distinct(), "ph", "left_semi").groupBy("ph").agg(F.min(F.struct("doc_id", "start")).alias("o"))
-    asked = stored(asked.groupBy("o.doc_id").agg(F.collect_list(F.struct("o.start", "ph")).alias("asked")), "asked")
-    shingles = d.join(small(asked, 250), "doc_id").select("text", "asked").mapInArrow(_shingled, "ph bigint, shingles binary").dropDuplicates(["ph"])
-    met = near.join(shingles, "ph").repartition(parts, "key").sortWithinPartitions("key", "ph")
+    cut = d.mapInArrow(_cut, "doc_id bigint, start int, ph bigint, " + ", ".join(f"{n} bigint" for n in names))
+    at = F.struct("doc_id", "start")
+    each = cut.groupBy("ph").agg(F.min(at).alias("first"), F.max(at).alias("last"), *(F.first(n).alias(n) for n in names))
+    each = stored(each.select("ph", "first", (F.col("first") < F.col("last")).alias("again"), *names), "paragraphs")
+
+    group = Window.partitionBy("key")
+    keyed = each.select("ph", "first.doc_id", "first.start", F.explode(F.array(*names)).alias("key"))
+    apart = (F.min("doc_id").over(group) < F.max("doc_id").over(group)) | (F.max("start").over(group) - F.min("start").over(group) >= LENGTH)
+    near = stored(keyed.withColumn("apart", apart).filter("apart").drop("apart"), "colliding")
+
+    asked = near.select("ph", "doc_id", "start").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "ph")).alias("asked"))
+    asked = stored(asked, "asked")
+    shingles = d.join(small(asked, 1000), "doc_id").select("text", "asked").mapInArrow(_shingled, "ph bigint, shingles binary").dropDuplicates(["ph"])
+    met = near.select("key", "ph").join(shingles, "ph").repartition(parts, "key").sortWithinPartitions("key", "ph")
     edges = met.mapInArrow(_linked, "a bigint, b bigint")
 
-    group = components(edges)
-    member = occur.join(group, occur["ph"] == group["node"], "left").select("doc_id", "start", F.coalesce("component", "ph").alias("c"))
-    first = member.groupBy("c").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    lost = member.join(first, "c").filter("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", F.col("first.doc_id").alias("kept"))
+    linked = stored(components(edges), "components")
+    members = each.join(small(linked, 16), each["ph"] == linked["node"], "left").filter("again or node is not null").select("ph", "first", F.coalesce("component", "ph").alias("c"))
+    best = members.groupBy("c").agg(F.min("first").alias("kept"))
+    kept = stored(members.join(best, "c").select("ph", F.col("kept.doc_id").alias("kept"), F.col("kept.start").alias("kept_start")), "kept")
+    again = d.mapInArrow(_cut, "doc_id bigint, start int, ph bigint, " + ", ".join(f"{n} bigint" for n in names)).select("doc_id", "start", "ph")
+    lost = again.join(small(kept, 20), "ph").filter(f"doc_id <> kept or abs(start - kept_start) >= {LENGTH}").select("doc_id", "start", "kept")
     by_doc = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.col("start") > F.coalesce(F.max(F.col("start") + LENGTH).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     spans = lost.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(by_doc))
