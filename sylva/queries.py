@@ -4,7 +4,215 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sylva.functions.text import fill_message, path_kept
+from sylva.operators import issues as ops
+from sylva.plans.checkers import check, load
+from sylva.sources import html
+from sylva.sources.languages import comment_mark, detect, extension
+from sylva.sources.store import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+CHECKERS = [
+    """{language: html, name: script-in-page, category: security, severity: critical, message: "script @code",
+    pattern: '(script_element (raw_text) @code) @script-in-page'}""",
+    """{language: html, name: link-in-list, category: style, severity: info, message: "link to @to",
+    pattern: '(element (start_tag (tag_name) @tag (attribute (attribute_name) @key (quoted_attribute_value (attribute_value) @to))) (#eq? @tag "a") (#match? @key "^href$")) @link-in-list',
+    filters: [{pattern-inside: '(element (start_tag (tag_name) @n (#eq? @n "ul")))'}]}""",
+    """{language: html, name: bold-outside-article, category: style, severity: info, message: "@tag",
+    pattern: '(element (start_tag (tag_name) @tag) (#any-of? @tag "b" "strong")) @bold-outside-article',
+    filters: [{pattern-not-inside: '(element (start_tag (tag_name) @n (#eq? @n "article")))'}]}""",
+]
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("source"))
+
+
+@query()
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages parsed once, three checkers over the nodes, issues with category and severity, as JSON."""
+    files = page_files(spark, sf_dir)
+    loaded = [load(c) for c in CHECKERS]
+    found = check(stored(html.nodes(files)), loaded)
+    info = spark.createDataFrame([(c.id, c.category, c.severity) for c in loaded], "id string, category string, severity string")
+    found = ops.describe(found, info).join(files.select("file_id", "path"), "file_id")
+    place = F.struct(F.col("path").alias("filename"), F.struct((F.col("row") + 1).alias("row"), F.col("col").alias("column")).alias("start"), F.struct((F.col("end_row") + 1).alias("row"), F.col("end_col").alias("column")).alias("end"))
+    return found.select("file_id", "id", ops.as_json(F.struct("category", "severity", "message", place.alias("range"), "id")).alias("issue"))
+
+
+@query()
+def html_node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.nodes(page_files(spark, sf_dir))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS comment FROM pages")
+def comment_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.nodes(page_files(spark, sf_dir)).filter("kind = 'comment'").select(F.col("file_id").alias("page_id"), F.col("text").alias("comment"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?i)<script[^>]*>[^<]'))::BIGINT AS scripts FROM pages WHERE regexp_matches(html, '(?i)<script[^>]*>[^<]')")
+def pattern_nested_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = check(html.nodes(page_files(spark, sf_dir)), [load(CHECKERS[0])])
+    return found.groupBy(F.col("file_id").alias("page_id")).agg(F.count(F.lit(1)).alias("scripts"))
+
+
+_EXT = r"regexp_extract(regexp_extract(url, '^([^?#]*)', 1), '(\.[^./]*)$', 1)"
+
+
+@query(f"SELECT page_id, {_EXT} AS ext, CASE {_EXT} WHEN '.html' THEN 'html' WHEN '.php' THEN 'php' END AS lang, CASE {_EXT} WHEN '.html' THEN '<\\!--' WHEN '.php' THEN '\\/\\/' ELSE '' END AS mark FROM pages")
+def scan_language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"^([^?#]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", extension(path).alias("ext"), detect(path).alias("lang"), comment_mark(detect(path)).alias("mark"))
+
+
+@query("SELECT page_id, url FROM pages WHERE url NOT GLOB '*.example.net/*' AND url NOT GLOB '*/[de][es]/*'")
+def path_exclude_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").filter(path_kept(F.col("url"), exclude=["**.example.net/*", "*/[de][es]/*"])).select("page_id", "url")
+
+
+@query("SELECT page_id, url FROM pages WHERE url GLOB 'https://*' AND url NOT GLOB '*blog*'")
+def path_include_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").filter(path_kept(F.col("url"), ["https://*"], ["*blog*"])).select("page_id", "url")
+
+
+@query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
+def changed_files_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "path")
+    return ops.changed_only(files, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "path")).select(F.col("path").alias("doc_id"), "lang")
+
+
+@query("(SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE n_chars > 2000) EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
+def changed_files_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return lab.select("doc_id").union(d.filter("n_chars > 2000").select("doc_id")).distinct().join(lab.filter("toxic = 1"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id, (i - 1)::INT AS line, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '[0-9]{3}') AND NOT regexp_matches(l, '@')")
+def pattern_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    return lines.filter(F.col("text").rlike("[0-9]{3}") & ~F.col("text").rlike("@"))
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality = 1, true)")
+def predicate_unbound_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").filter(F.coalesce(F.col("quality") == 1, F.lit(True))).select("doc_id", "quality")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    li = table(spark, sf_dir, "lineitem")
+    matches = li.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("pre"))
+    above = li.filter("l_quantity > 40").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("pre"), (F.col("l_linenumber") + 2).alias("subtree_end"))
+    return matches, above
+
+
+_INSIDE = "SELECT l_orderkey AS file_id, l_linenumber AS pre FROM lineitem m WHERE {} EXISTS (SELECT 1 FROM lineitem f WHERE f.l_quantity > 40 AND f.l_orderkey = m.l_orderkey AND f.l_linenumber < m.l_linenumber AND m.l_linenumber <= f.l_linenumber + 2)"
+
+
+@query(_INSIDE.format(""))
+def inside_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.inside(*_lines(spark, sf_dir))
+
+
+@query(_INSIDE.format("NOT"))
+def not_inside_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.not_inside(*_lines(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS file_id, l_linenumber AS \"row\", l_returnflag AS id FROM lineitem i WHERE NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_discount < 0.02 AND s.l_orderkey = i.l_orderkey AND s.l_linenumber IN (i.l_linenumber, i.l_linenumber - 1) AND (s.l_tax < 0.02 OR s.l_returnflag = i.l_returnflag))")
+def skip_suppression_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    found = li.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("row"), F.col("l_returnflag").alias("id"))
+    ids = F.when(F.col("l_tax") < 0.02, F.array().cast("array<string>")).otherwise(F.array("l_returnflag"))
+    return ops.suppress(found, li.filter("l_discount < 0.02").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("line"), ids.alias("checker_ids")))
+
+
+_INFO = [("click", "style", "info"), ("error", "bug-risk", "critical"), ("signup", "security", "warning"), ("never", "security", "error")]
+_VALUES = "(VALUES " + ", ".join(str(x) for x in _INFO) + ") c(id, category, severity)"
+
+
+def _event_issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("id")), spark.createDataFrame(_INFO, "id string, category string, severity string")
+
+
+@query(f"SELECT event_id, event_type AS id, coalesce(category, '') AS category, coalesce(severity, '') AS severity FROM events LEFT JOIN {_VALUES} ON event_type = id")
+def issue_lookup_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.describe(*_event_issues(spark, sf_dir)).select("event_id", "id", "category", "severity")
+
+
+@query(f"SELECT id, count(event_id) AS issues FROM {_VALUES} LEFT JOIN events ON event_type = id GROUP BY id")
+def issues_per_checker_with_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, info = _event_issues(spark, sf_dir)
+    return ops.count_by_checker(info, found)
+
+
+@query(f"SELECT CASE WHEN bool_or(severity = 'critical' OR category = 'bug-risk') THEN 1 ELSE 0 END AS exit_code FROM events JOIN {_VALUES} ON event_type = id")
+def exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.exit_status(ops.describe(*_event_issues(spark, sf_dir)))
+
+
+@query("SELECT event_id, replace(replace('@type by @user', '@type', event_type), '@user', user_id::VARCHAR) AS message FROM events")
+def message_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    caps = F.array(F.struct(F.lit("type").alias("name"), F.col("event_type").alias("text")), F.struct(F.lit("user").alias("name"), F.col("user_id").cast("string").alias("text")))
+    return table(spark, sf_dir, "events").select("event_id", fill_message(F.lit("@type by @user"), caps).alias("message"))
+
+
+@query("SELECT l_orderkey || '.c:' || (l_linenumber + 1) || ':0:' || l_returnflag AS line FROM lineitem")
+def issue_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(ops.as_text(F.concat(F.col("l_orderkey").cast("string"), F.lit(".c")), F.col("l_linenumber"), F.lit(0), F.col("l_returnflag")).alias("line"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS file, l_linenumber AS line, list(l_returnflag ORDER BY l_returnflag) AS expected FROM lineitem WHERE l_quantity > 25 GROUP BY ALL),
+r AS (SELECT l_orderkey AS file, l_linenumber AS line, list(l_returnflag ORDER BY l_returnflag) AS raised FROM lineitem WHERE l_tax > 0.03 GROUP BY ALL)
+SELECT file, line, expected IS NULL AS unexpected, raised IS NULL AS missing FROM e FULL JOIN r USING (file, line) WHERE expected IS DISTINCT FROM raised""")
+def expected_vs_raised_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "file", "l_linenumber": "line", "l_returnflag": "message"})
+    return ops.difference(li.filter("l_quantity > 25"), li.filter("l_tax > 0.03")).select("file", "line", F.col("expected").isNull().alias("unexpected"), F.col("raised").isNull().alias("missing"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
+def last_definition_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+
+
+@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+def unused_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
+def prev_sibling_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
+
+
+@query("SELECT l_orderkey AS file_id, l_linenumber AS pre, (SELECT max(s.l_linenumber) FROM lineitem s WHERE s.l_quantity > 30 AND s.l_orderkey = m.l_orderkey AND s.l_linenumber <= m.l_linenumber AND m.l_linenumber <= s.l_linenumber + 3) AS scope FROM lineitem m")
+def scope_nearest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    scopes = li.filter("l_quantity > 30").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("pre"), (F.col("l_linenumber") + 3).alias("subtree_end"))
+    return ops.nearest_enclosing(li.select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("pre")), scopes)
+
+
+@query("""WITH RECURSIVE a AS (SELECT user_id, event_id AS pos, event_type AS lhs, CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'view' WHEN 2 THEN 'click' ELSE 'signup' END AS rhs FROM events),
+t AS (SELECT DISTINCT user_id, 'error' AS name, -1::BIGINT AS pos FROM a UNION SELECT a.user_id, a.lhs, a.pos FROM t JOIN a ON a.user_id = t.user_id AND a.rhs = t.name AND a.pos > t.pos)
+SELECT user_id AS file_id, array_to_string(list_sort(list(DISTINCT name)), ',') AS tainted FROM t GROUP BY user_id""")
+def ordered_taint_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, ("error", "view", "click", "signup"))), (F.col("event_id") % 4 + 1).cast("int"))
+    a = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("lhs"), F.array(names).alias("rhs_names"))
+    return ops.tainted(a, ["error"]).withColumn("tainted", F.array_join("tainted", ","))

@@ -1,0 +1,22 @@
+"""Working tables in the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the folder of spark.checkpoint.dir and reread, so that plans over it share one computation. Unset, in local mode only: a temporary folder of this machine."""
+    spark = df.sparkSession
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="sylva-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    path = f"{where}/sylva/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
