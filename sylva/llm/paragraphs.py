@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylva.llm._shared import documents, only, small, stored
+from sylva.llm._shared import documents, only, stored
 from sylva.llm._tokens import _NGRAM, mix, over, ngrams, slices, tokenize
 from sylva.llm.components import components
 from sylva.llm.jaccard_join import _groups
@@ -194,16 +194,16 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     asked = near.select("ph", "doc_id", "start").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "ph")).alias("asked"))
     asked = stored(asked, "asked")
-    shingles = d.join(small(asked, 1000), "doc_id").select("text", "asked").mapInArrow(_shingled, "ph bigint, shingles binary").dropDuplicates(["ph"])
+    shingles = d.join(asked, "doc_id").select("text", "asked").mapInArrow(_shingled, "ph bigint, shingles binary").dropDuplicates(["ph"])
     met = near.select("key", "ph").join(shingles, "ph").repartition(parts, "key").sortWithinPartitions("key", "ph")
     edges = met.mapInArrow(_linked, "a bigint, b bigint")
 
     linked = stored(components(edges), "components")
-    members = each.join(small(linked, 16), each["ph"] == linked["node"], "left").filter("again or node is not null").select("ph", "first", F.coalesce("component", "ph").alias("c"))
+    members = each.join(linked, each["ph"] == linked["node"], "left").filter("again or node is not null").select("ph", "first", F.coalesce("component", "ph").alias("c"))
     best = members.groupBy("c").agg(F.min("first").alias("kept"))
     kept = stored(members.join(best, "c").select("ph", F.col("kept.doc_id").alias("kept"), F.col("kept.start").alias("kept_start")), "kept")
     again = d.mapInArrow(_cut, "doc_id bigint, start int, ph bigint, " + ", ".join(f"{n} bigint" for n in names)).select("doc_id", "start", "ph")
-    lost = again.join(small(kept, 20), "ph").filter(f"doc_id <> kept or abs(start - kept_start) >= {LENGTH}").select("doc_id", "start", "kept")
+    lost = again.join(kept, "ph").filter(f"doc_id <> kept or abs(start - kept_start) >= {LENGTH}").select("doc_id", "start", "kept")
     by_doc = Window.partitionBy("doc_id").orderBy("start")
     fresh = F.col("start") > F.coalesce(F.max(F.col("start") + LENGTH).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     spans = lost.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(by_doc))
