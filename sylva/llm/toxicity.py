@@ -22,9 +22,9 @@ from sylva.llm._tokens import over, slices, tokenize
 BITS = 20
 #: Most labelled documents that the machine is fitted on: those of least hash.
 SAMPLE = 20_000
-FACTORS, EPOCHS, BATCH, MIN_DOCS = 8, 12, 128, 3
-#: Least share of the documents that a term must be in: rarer ones only recall single labels, wrong ones too.
-MIN_SHARE = 0.01
+FACTORS, EPOCHS, BATCH = 8, 12, 128
+#: Least number of documents that a term must be in, whatever their total: rarer ones only recall single labels, wrong ones too.
+MIN_DOCS = 5
 #: Soft threshold on weights (and, times the vectors' usual length, on vectors); Adagrad's first sum of squares.
 SHRINK, FIRST = 0.01, 0.01
 
@@ -62,9 +62,9 @@ def _terms(texts: pa.Array, row: np.ndarray | None = None) -> tuple[np.ndarray,
 def fit(terms: list[np.ndarray], toxic: np.ndarray, seed: int = 0) -> Machine:
     """Adagrad on the logistic loss, classes weighted alike, with proximal steps that leave most terms
     at zero; a fifth of the documents, held out, sets the threshold. Terms of fewer than MIN_DOCS
-    documents or MIN_SHARE, or of half of them, are left out. Without documents of both classes nothing is rejected."""
+    documents, or of half of them, are left out. Without documents of both classes nothing is rejected."""
     df = np.bincount(np.concatenate(terms), minlength=1 << BITS) if terms else np.zeros(1 << BITS, int)
-    kept = np.flatnonzero((df >= max(MIN_DOCS, MIN_SHARE * len(terms))) & (df < max(MIN_DOCS + 1, len(terms) / 2)))
+    kept = np.flatnonzero((df >= MIN_DOCS) & (df < max(MIN_DOCS + 1, len(terms) / 2)))
     row = np.full(1 << BITS, -1, np.int32)
     row[kept] = np.arange(len(kept))
     rng = np.random.default_rng(seed)

@@ -111,6 +111,21 @@ def test_interactions_are_learned():
     assert ((z > m.threshold) == np.array(toxic[2400:])).mean() > 0.85
 
 
+def test_terms_of_few_documents_are_learned():
+    rng = np.random.default_rng(3)
+    docs, toxic = [], []
+    for i in range(4000):  # each of 20 toxic terms stands in 10 documents of 4000
+        bad = i % 20 == 0
+        docs.append(np.unique(np.append(rng.integers(100, 1100, 20), [1 + i // 20 % 20] if bad else [])).astype(np.int32))
+        toxic.append(int(bad))
+    toxic = np.array(toxic)
+    m = toxicity.fit(docs, toxic)
+    fresh = [np.unique(np.append(rng.integers(100, 1100, 20), [1 + i] if i < 20 else [])).astype(np.int32) for i in range(400)]
+    rows = [m.row[d][m.row[d] >= 0] for d in fresh]
+    hit = m.score(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])) > m.threshold
+    assert hit[:20].mean() >= 0.7 and hit[20:].mean() <= 0.02
+
+
 def test_rules_on_held_out_rows():
     rng = np.random.default_rng(7)
     x = {k: rng.random(3000) for k in "abc"}
