@@ -72,6 +72,23 @@ def test_jaccard_against_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_all_pairs_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for n in (1, 2, 7):
+        t = prose(rng, 60)
+        near = t.split()
+        near[30] = "changed"
+        texts += [t] * n + [" ".join(near)] * 3
+    grams = [{tuple(t.split()[i : i + 3]) for i in range(58)} for t in texts]
+    want = sorted((i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.5)
+    docs = make(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    for most in (1000, 2):
+        monkeypatch.setattr(jaccard_join, "_SLOT", most)
+        assert sorted((r.doc_a, r.doc_b) for r in jaccard_join.all_pairs(docs).collect()) == want
+    assert len(jaccard_join.jaccard_pairs(docs).collect()) < len(want)
+
+
 def test_tree_misses_nothing():
     rng = np.random.default_rng(0)
     points = rng.integers(0, 3, (300, 16))
