@@ -2,9 +2,10 @@
 
 Passages are pasted anywhere, so paragraphs are cut where the text itself says: LENGTH
 words from each anchor, an anchor being the word whose n-gram hash is least among WINDOW
-neighbours. Anchors lie at most WINDOW words apart, so paragraphs cover the text, and
-any passage of LENGTH + WINDOW - 1 = 51 words that two texts share has a paragraph that
-both of them cut alike. Exact repeats are counted by hash, so that each paragraph is
+neighbours. Anchors lie at most WINDOW words apart and WINDOW is no more than LENGTH, so
+paragraphs cover the text but for its two ends and runs of one repeated n-gram, and any
+passage of LENGTH + WINDOW - 1 = 39 words that two texts share has a paragraph that both
+of them cut alike. Exact repeats are counted by hash, so that each paragraph is
 banded once. MinHash bands bring near copies together, but for neighbours that overlap in
 the one text where all of a band's members first stand; colliding paragraphs are verified by the exact
 Jaccard similarity of their shingles, and connected components of verified pairs, each
@@ -26,7 +27,7 @@ from sylva.llm._tokens import _NGRAM, mix, over, ngrams, slices, tokenize
 from sylva.llm.components import components
 from sylva.llm.jaccard_join import _groups
 
-LENGTH, WINDOW, SHINGLE = 20, 32, 4
+LENGTH, WINDOW, SHINGLE = 20, 20, 4
 THRESHOLD, RECALL = 0.6, 0.93
 _SHINGLES = LENGTH - SHINGLE + 1
 #: Members of a group up to which all its pairs are compared at once.
@@ -174,8 +175,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     Of a cluster's occurrences that of least doc_id and start stays; kept_doc_ids lists the
     documents where what a span repeats is kept, its own among them if it repeats itself. A
-    span reaches from the first to the last whole paragraph that repeats, so up to WINDOW - 1 words of
-    a passage may stand out at either end. Overlapping spans are merged. Null and empty texts, texts of under LENGTH words and rows
+    span joins whole paragraphs that repeat without a gap between them, so up to WINDOW - 1 words of
+    a passage may stand out at either end, and around words that a near copy has changed. Overlapping spans are merged. Null and empty texts, texts of under LENGTH words and rows
     of null doc_id have no spans. Repeated rows count once.
     """
     spark = docs.sparkSession

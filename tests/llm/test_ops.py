@@ -184,6 +184,15 @@ def test_repeated_passages(spark):
     assert {r.doc_id for r in got} == {1, 2, 3} and all(r.doc_id not in r.kept_doc_ids and 0 in r.kept_doc_ids for r in got if r.doc_id != 3)
 
 
+def test_repeated_passage_is_one_span(spark):
+    rng = random.Random(12)
+    passages = [prose(rng, 400) for _ in range(4)]
+    rows = [(10 * k + i, f"{prose(rng, 60)} {p} {prose(rng, 60)}", "s") for k, p in enumerate(passages) for i in range(2)]
+    got = {r.doc_id: (r.start, r.end) for r in paragraphs.repeats(make(spark, rows)).collect()}
+    assert len(got) == paragraphs.repeats(make(spark, rows)).count() == 4
+    assert all(50 < got[10 * k + 1][0] < 80 and 440 < got[10 * k + 1][1] < 470 for k in range(4))  # near copies reach over the ends
+
+
 def test_leaks_and_paraphrases(spark):
     rng = random.Random(8)
     items = [(i, prose(rng, 40)) for i in range(5)]
