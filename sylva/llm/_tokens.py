@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_SEG = 1 << 21
+_SEG = 1 << 17
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _NGRAM = [np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3)]
@@ -86,7 +86,7 @@ def tokenize(texts: pa.Array) -> Tokens:
     return Tokens(mix(out), np.searchsorted(start, offs), start, end, data, offs)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts of a batch whose texts hold about `most` bytes; a longer text comes alone, whole."""
     size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
     i, n = 0, batch.num_rows
@@ -126,3 +126,9 @@ def over(ufunc: np.ufunc, values: np.ndarray, offs: np.ndarray, empty) -> np.nda
     if some.any():
         out[some] = ufunc.reduceat(values, offs[:-1][some], axis=0)
     return out
+
+
+def binaries(values: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """values[offs[i]:offs[i + 1]] as a binary each, without a Python object for any."""
+    at = pa.py_buffer((offs * values.itemsize).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, at, pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
