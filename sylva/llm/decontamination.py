@@ -5,13 +5,15 @@ over the cluster, gives by a randomised singular value decomposition the leading
 directions of term space; passages and benchmark items are compared by cosine there.
 Pairs that are close enough are verified on their tokens: by the length of their longest
 common subsequence, and by whether the item's answer, its closing words, stands in the
-passage.
+passage. Before a common subsequence is computed it's bounded by the number of the item's
+tokens that the passage holds at all, which loses nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm._shared import DOCUMENTS, documents, only, row_key, small, stored
-from sylva.llm._tokens import mix, slices, tokenize
+from sylva.llm._tokens import binaries, mix, slices, tokenize
 
 #: Tokens in a chunk; a passage is two neighbouring chunks. Hash buckets of terms. Rows of the sketch; directions kept.
 CHUNK, TERMS, SKETCH, RANK = 32, 1 << 14, 128, 64
 #: Least cosine of a candidate; least share of an item in the common subsequence alone, and with the answer; the answer's tokens.
 COSINE, COMMON, WITH_ANSWER, ANSWER = 0.3, 0.75, 0.5, 6
-_PAD, _PIECE = 0xFFFF, 64
+#: An item of fewer tokens is a phrase that any text may hold and isn't looked for. Items that one pass over the corpus looks for.
+LEAST, BLOCK = 8, 20_000
+_PAD, _WORD = 0xFFFF, 64
+_CELLS = SKETCH * TERMS
 
 
 def _ids(hashes: np.ndarray) -> np.ndarray:
@@ -43,90 +48,108 @@ def _tokenized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offs = np.concatenate([[0], np.cumsum(held)])
             ids = np.full(offs[-1], _PAD, np.uint16)
             ids[np.arange(len(t.hash)) + np.repeat(offs[:-1] - t.offs[:-1], size)] = _ids(t.hash)
-            grid = np.sort(np.where(ids == _PAD, _PAD, ids & (TERMS - 1)).astype(np.uint16).reshape(-1, CHUNK), 1)
-            new = grid != _PAD
-            new[:, 1:] &= grid[:, 1:] != grid[:, :-1]
-            df += np.bincount(grid[new], minlength=TERMS)
-            chunks += len(grid)
-            yield _rows([x.as_py() for x in b.column("row")], b.column("doc_id").to_pylist(), [ids[x:y].tobytes() for x, y in zip(offs[:-1], offs[1:], strict=True)])
-    yield _rows([None], [None], [np.append(df, chunks).tobytes()], 1)
-
-
-def _rows(row: list, doc: list, ids: list, kind: int = 0) -> pa.RecordBatch:
-    return pa.record_batch({"kind": pa.array([kind] * len(ids), pa.int32()), "row": pa.array(row, pa.string()), "doc_id": pa.array(doc, pa.int64()), "ids": pa.array(ids, pa.binary())})
-
-
-def _total(parts: DataFrame, dtype: type) -> np.ndarray | None:
-    """The sum of arrays in a one-column frame, added up in partitions, then in a few, then in one."""
+            for part in np.array_split(ids.reshape(-1, CHUNK), len(ids) // (CHUNK << 12) + 1):
+                grid = np.sort(np.where(part == _PAD, _PAD, part & (TERMS - 1)).astype(np.uint16), 1)
+                new = grid != _PAD
+                new[:, 1:] &= grid[:, 1:] != grid[:, :-1]
+                df += np.bincount(grid[new], minlength=TERMS)
+                chunks += len(grid)
+            yield pa.record_batch({"kind": pa.array(np.zeros(len(size), np.int32)), "row": b.column("row"), "doc_id": b.column("doc_id"), "ids": binaries(ids, offs)})
+    yield pa.record_batch({"kind": pa.array([1], pa.int32()), "row": pa.array([None], pa.string()), "doc_id": pa.array([None], pa.int64()), "ids": pa.array([np.append(df, chunks).tobytes()], pa.binary())})
+
+
+def _total(parts: DataFrame, make: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]], dtype: type, cells: int, rows: int) -> np.ndarray:
+    """The sum of the arrays that make yields of parts' partitions. Partitions are taken together until
+    there are twice as many as cores, so that what is shuffled follows the cluster and not the input;
+    each of the arrays' rows is summed in a task of its own."""
+    spark = parts.sparkSession
+    wide = -(-cells // rows)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(wide * rows, dtype)
+        for x in make(batches):
+            total[:cells] += x
+        for r in range(rows):
+            row = total[r * wide : (r + 1) * wide]
+            if row.any():
+                yield pa.record_batch({"r": pa.array([r], pa.int32()), "v": pa.array([row.tobytes()], pa.binary())})
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b.column(0):
-                x = np.frombuffer(x.as_py(), dtype)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.record_batch({"v": pa.array([total.tobytes()], pa.binary())})
+            for r, v in zip(b.column("r").to_pylist(), b.column("v"), strict=True):
+                x = np.frombuffer(v.as_buffer(), dtype)
+                held[r] = held[r] + x if r in held else x.copy()
+        if held:
+            yield pa.record_batch({"r": pa.array(list(held), pa.int32()), "v": pa.array([x.tobytes() for x in held.values()], pa.binary())})
 
-    few = parts.mapInArrow(add, "v binary").repartition(8).mapInArrow(add, "v binary").coalesce(1).mapInArrow(add, "v binary").collect()
-    return np.frombuffer(few[0][0], dtype) if few else None
+    few = parts.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(add, "r int, v binary")
+    out = np.zeros((rows, wide), dtype)
+    for r in few.repartition(min(rows, spark.sparkContext.defaultParallelism), "r").mapInArrow(join, "r int, v binary").toLocalIterator():
+        out[r.r] = np.frombuffer(r.v, dtype)
+    return out.ravel()[:cells]
 
 
 def _idf(df: np.ndarray, chunks: int) -> np.ndarray:
-    """Weights of token ids; padding and terms of over a tenth of the chunks weigh nothing."""
-    w = np.log((1 + chunks) / (1 + df)).astype(np.float32)
-    w[df > max(1, chunks) / 10] = 0
+    """Weights of token ids, smoothed, so that a term of all chunks still weighs a little; padding weighs nothing."""
+    w = np.log((1.5 + chunks) / (1 + df)).astype(np.float32)
     full = np.tile(w, (_PAD + 1) // TERMS)
     full[_PAD] = 0
     return full
 
 
-def _sketch(idf_of: Callable[[], np.ndarray]):
-    """S, SKETCH x TERMS: each passage's scaled weights, added with its sign to its row."""
+def _held(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray]]]]:
+    """Documents' ids, in lots of about `most` tokens, with the index of each in its batch."""
+    for b in batches:
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, x in enumerate(b.column("ids")):
+            raw = x.as_buffer()
+            held.append((i, np.frombuffer(raw, np.uint16)))
+            size += raw.size // 2
+            if size > most:
+                yield b, held
+                held, size = [], 0
+        if held:
+            yield b, held
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, total = idf_of(), np.zeros(SKETCH * TERMS, np.float32)
-        for b in batches:
-            held: list[np.ndarray] = []
-            for x in b.column("ids"):
-                held.append(np.frombuffer(x.as_buffer(), np.uint16))
-                if sum(map(len, held)) > 1 << 19:
-                    _add(held, idf, total)
-                    held = []
-            if held:
-                _add(held, idf, total)
-        if total.any():
-            yield pa.record_batch({"v": pa.array([total.tobytes()], pa.binary())})
 
-    return run
+def _sketch(idf_of: Callable[[], np.ndarray]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]]:
+    """S, SKETCH x TERMS: each passage's scaled weights, added with its sign to its row."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        idf, two = idf_of(), 2 * CHUNK
+        for _, held in _held(batches, 1 << 19):
+            grid = np.full((sum(-(-len(x) // two) for _, x in held), two), _PAD, np.uint16)
+            flat, at = grid.ravel(), 0
+            for _, x in held:
+                flat[at : at + len(x)] = x
+                at += -(-len(x) // two) * two
+            total = np.zeros(_CELLS, np.float32)
+            for g in np.array_split(grid, len(grid) // 4096 + 1):
+                w = idf[g]
+                norm = np.sqrt((w * w).sum(1))
+                h = mix(g.astype(np.uint64).sum(1) * np.uint64(0x9E3779B97F4A7C15) + g[:, 0])
+                w *= np.where(h >> np.uint64(63), 1, -1)[:, None] / np.maximum(norm, 1e-6)[:, None]
+                cell = (h % np.uint64(SKETCH)).astype(np.int64)[:, None] * TERMS + (g & (TERMS - 1))
+                np.add.at(total, cell[w != 0], w[w != 0])
+            yield total
 
-def _add(held: list[np.ndarray], idf: np.ndarray, total: np.ndarray) -> None:
-    two = 2 * CHUNK
-    grid = np.full((sum(-(-len(x) // two) for x in held), two), _PAD, np.uint16)
-    flat, at = grid.ravel(), 0
-    for x in held:
-        flat[at : at + len(x)] = x
-        at += -(-len(x) // two) * two
-    w = idf[grid]
-    norm = np.sqrt((w * w).sum(1))
-    h = mix(grid.astype(np.uint64).sum(1) * np.uint64(0x9E3779B97F4A7C15) + grid[:, 0])
-    w *= np.where(h >> np.uint64(63), 1, -1)[:, None] / np.maximum(norm, 1e-6)[:, None]
-    cell = (h % np.uint64(SKETCH)).astype(np.int64)[:, None] * TERMS + (grid & (TERMS - 1))
-    use = w != 0
-    total += np.bincount(cell[use], w[use], SKETCH * TERMS).astype(np.float32)
+    return run
 
 
 @dataclass
 class Index:
-    """project: a token's part of its passage's place in latent space, whitened. items: pieces of at most
-    64 tokens, each with item_id, tokens, answer and place."""
+    """project: a token's part of its passage's place in latent space, whitened. Items of one block: pieces
+    of at most 64 tokens, as even as can be; whose: the item of each piece; lengths, answers: by item."""
 
     project: np.ndarray
-    item_ids: list[int]
-    tokens: list[np.ndarray]
-    answers: list[np.ndarray]
-    places: np.ndarray
+    ids: list[int] = field(default_factory=list)
+    lengths: list[int] = field(default_factory=list)
+    answers: list[np.ndarray] = field(default_factory=list)
+    tokens: list[np.ndarray] = field(default_factory=list)
+    whose: list[int] = field(default_factory=list)
+    places: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK), np.float32))
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         return self.project[np.where(ids == _PAD, TERMS, ids & (TERMS - 1))].sum(-2)
@@ -136,7 +159,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
 
 
-def index(sketch: np.ndarray, idf: np.ndarray, items: list[tuple[int, str]]) -> Index:
+def directions(sketch: np.ndarray, idf: np.ndarray) -> np.ndarray:
     s = sketch.reshape(SKETCH, TERMS).astype(np.float64)
     value, vector = np.linalg.eigh(s @ s.T)
     top = np.argsort(-value)[:RANK]
@@ -144,27 +167,38 @@ def index(sketch: np.ndarray, idf: np.ndarray, items: list[tuple[int, str]]) ->
     right = (s.T @ vector[:, top]) / np.sqrt(value[top])
     project = np.zeros((TERMS + 1, RANK), np.float32)
     project[:TERMS, : len(top)] = idf[:TERMS, None] * right / np.sqrt(value[top])
-    out = Index(project, [], [], [], np.zeros((0, RANK), np.float32))
+    return project
+
+
+def index(project: np.ndarray, items: list[tuple[int, str]]) -> Index:
+    out = Index(project)
     places = []
     t = tokenize(pa.array([x for _, x in items], pa.string()))
     for (item, _), a, b in zip(items, t.offs[:-1], t.offs[1:], strict=True):
         ids = _ids(t.hash[a:b])
-        for p in range(0, len(ids), _PIECE):
-            piece = ids[p : p + _PIECE]
-            out.item_ids.append(item)
+        if len(ids) < LEAST:
+            continue
+        for piece in np.array_split(ids, -(-len(ids) // _WORD)):
             out.tokens.append(piece)
-            out.answers.append(ids[-ANSWER:])
+            out.whose.append(len(out.ids))
             places.append(out.place(piece))
+        out.ids.append(item)
+        out.lengths.append(len(ids))
+        out.answers.append(ids[-ANSWER:])
     if places:
         out.places = _unit(np.array(places, np.float32))
     return out
 
 
+def _bits(item: np.ndarray, table: np.ndarray) -> None:
+    for i, x in enumerate(item):
+        table[x] |= np.uint64(1) << np.uint64(i)
+
+
 def common(item: np.ndarray, texts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Longest common subsequences of an item of at most 64 tokens with each row of texts, bit-parallel.
     table: 65536 zeros, returned as such."""
-    for i, x in enumerate(item):
-        table[x] |= np.uint64(1) << np.uint64(i)
+    _bits(item, table)
     v = np.full(len(texts), np.uint64(0xFFFFFFFFFFFFFFFF))
     for j in range(texts.shape[1]):
         m = table[texts[:, j]]
@@ -179,85 +213,104 @@ def _search(index_of: Callable[[], Index]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index_of()
         table = np.zeros(1 << 16, np.uint64)
-        for b in batches:
-            row, doc = b.column("row").to_pylist(), b.column("doc_id").to_pylist()
-            held: list[tuple[int, np.ndarray]] = []
-            size = 0
-            for i, x in enumerate(b.column("ids")):
-                raw = x.as_buffer()
-                if raw.size:
-                    held.append((i, np.frombuffer(raw, np.uint16)))
-                    size += raw.size // 2
-                if size > 1 << 18:
-                    yield from _hits(ix, held, row, doc, table)
-                    held, size = [], 0
-            yield from _hits(ix, held, row, doc, table)
+        for b, held in _held(batches, 1 << 17):
+            found = _hits(ix, held, table)
+            if found:
+                at = pa.array([i for i, _ in found])
+                yield pa.record_batch(
+                    {
+                        "row": b.column("row").take(at),
+                        "doc_id": b.column("doc_id").take(at),
+                        "item_id": pa.array([ix.ids[k] for _, k in found], pa.int64()),
+                        "common": pa.array([x[0] for x in found.values()]),
+                        "cosine": pa.array([x[1] for x in found.values()]),
+                        "answer": pa.array([x[2] for x in found.values()]),
+                    }
+                )
 
     return run
 
 
-def _hits(ix: Index, held: list, row: list, doc: list, table: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not held or not ix.item_ids:
-        return
+def _hits(ix: Index, held: list, table: np.ndarray) -> dict[tuple[int, int], tuple[float, float, bool]]:
+    """(document, item) -> share of the item in common subsequences, cosine, whether the answer is there."""
+    if not ix.ids:
+        return {}
     grid = np.concatenate([x for _, x in held]).reshape(-1, CHUNK)
+    if not len(grid):
+        return {}
     owner = np.repeat([i for i, _ in held], [len(x) // CHUNK for _, x in held])
-    place = np.concatenate([ix.place(g) for g in np.array_split(grid, len(grid) // 2048 + 1)])
+    place = np.concatenate([ix.place(g) for g in np.array_split(grid, len(grid) // 512 + 1)])
     follows = np.concatenate([owner[1:] == owner[:-1], [False]])
     pair = place.copy()
     pair[follows] += place[1:][follows[:-1]]
-    near = np.maximum(_unit(pair) @ ix.places.T, _unit(place) @ ix.places.T)
-    at, item = np.nonzero(near >= COSINE)
-    if not len(at):
-        return
+    pair, place = _unit(pair), _unit(place)
     edge = np.full((1, CHUNK), _PAD, np.uint16)
     wide = np.concatenate([edge, grid, edge, edge])
     own = np.concatenate([[-1], owner, [-1, -1]])
-    out: dict[tuple, tuple] = {}
-    for k in np.unique(item):
-        a = at[item == k]
-        text = np.concatenate([np.where((own[a + 1 + d] == owner[a])[:, None], wide[a + 1 + d], _PAD) for d in (-1, 0, 1, 2)], 1)
-        share = common(ix.tokens[k], text, table) / len(ix.tokens[k])
-        answer = ix.answers[k].tobytes()
-        for i in np.flatnonzero(share >= WITH_ANSWER):
-            found = answer in text[i].tobytes()
-            if share[i] >= COMMON or found:
-                key = (owner[a[i]], ix.item_ids[k])
-                out[key] = max(out.get(key, (0.0, 0.0, False)), (float(share[i]), float(near[a[i], k]), found))
-    if out:
-        yield pa.record_batch(
-            {
-                "row": pa.array([row[i] for i, _ in out], pa.string()),
-                "doc_id": pa.array([doc[i] for i, _ in out], pa.int64()),
-                "item_id": pa.array([int(k) for _, k in out], pa.int64()),
-                "common": pa.array([x[0] for x in out.values()]),
-                "cosine": pa.array([x[1] for x in out.values()]),
-                "answer": pa.array([x[2] for x in out.values()]),
-            }
-        )
+    best: dict[tuple[int, int], dict[int, tuple[int, float, bool]]] = {}
+    for first in range(0, len(ix.tokens), 64):
+        near = np.maximum(pair @ ix.places[first : first + 64].T, place @ ix.places[first : first + 64].T)
+        for k in range(first, min(first + 64, len(ix.tokens))):
+            item, answer = ix.tokens[k], ix.answers[ix.whose[k]].tobytes()
+            at = np.flatnonzero(near[:, k - first] >= COSINE)
+            if not len(at):
+                continue
+            _bits(item, table)
+            has = np.zeros(len(wide), np.uint64)
+            has[1:-2] = np.bitwise_or.reduce(table[grid], 1)
+            table[item] = 0
+            bound = reduce(np.bitwise_or, (np.where(own[at + 1 + d] == owner[at], has[at + 1 + d], np.uint64(0)) for d in (-1, 0, 1, 2)))
+            at = at[np.bitwise_count(bound) >= WITH_ANSWER * len(item)]
+            if not len(at):
+                continue
+            text = np.concatenate([np.where((own[at + 1 + d] == owner[at])[:, None], wide[at + 1 + d], _PAD) for d in (-1, 0, 1, 2)], 1)
+            length = common(item, text, table)
+            for i in np.flatnonzero(length >= WITH_ANSWER * len(item)):
+                parts = best.setdefault((int(owner[at[i]]), ix.whose[k]), {})
+                was = parts.get(k, (0, 0.0, False))
+                parts[k] = max(was[0], int(length[i])), max(was[1], float(near[at[i], k - first])), was[2] or answer in text[i].tobytes()
+    out = {}
+    for (doc, item), parts in best.items():
+        share = sum(x[0] for x in parts.values()) / ix.lengths[item]
+        found = any(x[2] for x in parts.values())
+        if share >= COMMON or found and share >= WITH_ANSWER:
+            out[doc, item] = share, max(x[1] for x in parts.values()), found
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, doc_id, item_id, common, cosine, answer): documents and the benchmark items that they hold.
 
-    common is the share of the item's tokens in the longest common subsequence. Null and
-    empty texts, of either table, and null item_ids match nothing. An item of more than 64
-    tokens is looked for in pieces of 64, each enough. Repeated rows give repeated results.
+    common is the share of the item's tokens in the longest common subsequence with a passage. An
+    item of more than 64 tokens is looked for in even pieces; its share is that of all its tokens. Of
+    items with one item_id the first text in order counts; items of fewer than LEAST tokens, null and
+    empty texts, of either table, and null item_ids match nothing. Texts are searched whole, however
+    long. A document has a row for each item it holds, ties too; repeated rows give repeated results;
+    an empty table, of either kind, gives none. The benchmark is searched for in blocks of BLOCK items.
     """
     spark = docs.sparkSession
     d = only(docs, "doc_id", "text")
     d = d.select(row_key(d).alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     table = stored(d.mapInArrow(_tokenized, "kind int, row string, doc_id bigint, ids binary"), "tokens")
-    df = _total(table.filter("kind = 1").select("ids"), np.int64)
-    if df is None:
-        df = np.zeros(TERMS + 1, np.int64)
+
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            yield from (np.frombuffer(x.as_buffer(), np.int64) for x in b.column("ids"))
+
+    df = _total(table.filter("kind = 1").select("ids"), counts, np.int64, TERMS + 1, 1)
     shared_idf = spark.sparkContext.broadcast(_idf(df[:-1], int(df[-1])))
     texts = table.filter("kind = 0 and length(ids) > 0").select("row", "doc_id", "ids")
-    total = _total(texts.select("ids").mapInArrow(_sketch(lambda: shared_idf.value), "v binary"), np.float32)
+    sketch = _total(texts.select("ids"), _sketch(lambda: shared_idf.value), np.float32, _CELLS, SKETCH)
+    project = directions(sketch, shared_idf.value)
     bench = only(benchmark, "item_id", "text").dropna().groupBy(F.col("item_id").cast("bigint")).agg(F.min(F.col("text").cast("string")).alias("text"))
-    items = sorted((r[0], r[1]) for r in bench.collect())  # the index holds the benchmark, which doesn't grow with the corpus
-    ix = index(np.zeros(SKETCH * TERMS, np.float32) if total is None else total, shared_idf.value, items)
-    shared = spark.sparkContext.broadcast(ix)
-    return texts.mapInArrow(_search(lambda: shared.value), "row string, doc_id bigint, item_id bigint, common double, cosine double, answer boolean")
+    bench = stored(bench, "benchmark")
+    blocks = -(-bench.count() // BLOCK) or 1
+    found = []
+    for k in range(blocks):
+        items = sorted((r[0], r[1]) for r in bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())
+        shared = spark.sparkContext.broadcast(index(project, items))
+        found.append(texts.mapInArrow(lambda x, s=shared: _search(lambda: s.value)(x), "row string, doc_id bigint, item_id bigint, common double, cosine double, answer boolean"))
+    return reduce(DataFrame.union, found)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -268,5 +321,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
     found = leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.groupBy("doc_id", "item_id").agg(F.max("common").alias("common"), F.max("cosine").alias("cosine"), F.max("answer").alias("answer"))

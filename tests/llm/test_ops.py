@@ -231,6 +231,42 @@ def test_leaks_and_paraphrases(spark):
     assert got == {(0, 0), (1, 1)}
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_leaks_against_all_subsequences(spark):
+    rng = random.Random(21)
+    items = [(i, prose(rng, n)) for i, n in enumerate([20, 40, 60, 65, 129, 200, 3, 1])]
+    rows = [(i, prose(rng, 150), "s") for i in range(12)]
+    for i, text in items[:6]:
+        w = text.split()
+        for k in range(0, len(w), 9):
+            w[k] = "zebra"
+        rows += [(20 + 2 * i, f"{prose(rng, 30)} {text} {prose(rng, 45)}", "s"), (21 + 2 * i, f"{prose(rng, 77)} {' '.join(w)} {prose(rng, 10)}", "s")]
+    rows += [(50, f"{prose(rng, 60)} {items[3][1].split()[-1]} {items[7][1]} {prose(rng, 30)}", "s")]
+    want = {(i, k) for i, t, _ in rows for k, x in items if len(x.split()) >= decontamination.LEAST and lcs(x.split(), t.split()) >= 0.75 * len(x.split())}
+    assert len(want) == 12
+    got = {(r.doc_id, r.item_id): r.common for r in decontamination.leaks(make(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert set(got) == want and all(got[20 + 2 * i, i] == 1.0 for i in range(6))
+
+
+def test_leak_in_a_single_document_and_in_blocks(spark, monkeypatch):
+    rng = random.Random(22)
+    items = [(i, prose(rng, 30)) for i in range(5)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontamination.leaks(make(spark, [(1, items[2][1], "s")] * 2), bench).collect()
+    assert [(r.doc_id, r.item_id, r.common) for r in got] == [(1, 2, 1.0)] * 2
+    monkeypatch.setattr(decontamination, "BLOCK", 2)
+    rows = [(i, f"{prose(rng, 40)} {t}", "s") for i, t in items]
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(make(spark, rows), bench).collect()} == {(i, i) for i in range(5)}
+
+
 def test_packing_fits(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, rng.choice([3, 40, 150, 420, 700, 1500])), "s") for i in range(300)]
