@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 _made: list[tuple[SparkSession, str]] = []
 #: Largest row count and bytes that a side may have to be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Bytes of an Arrow batch; a longer text comes alone, whole.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +59,25 @@ def small(df: DataFrame, bytes_a_row: int, count: int | None = None) -> DataFram
     return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * bytes_a_row <= BROADCAST_BYTES else df
 
 
+#: Rows of one join key from which on they aren't shuffled to one task.
+HOT = 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str, spread: str, how: str = "inner") -> DataFrame:
+    """left joined with right, unique in key, by key. Keys of over HOT rows, as right's column `rows` counts them, are
+    looked up in a broadcast table, which has a row for each, left's rows / HOT at most; their rows take column `spread`,
+    of key's type, as the key of the shuffle that the others need. The result lacks `rows`."""
+    names = [c for c in right.columns if c not in (key, rows)]
+    hot = right.filter(F.col(rows) > HOT).select(F.col(key).alias("__hot"), F.struct(*names).alias("__h"))
+    cold = right.filter(F.col(rows) <= HOT).select(F.col(key).alias("__cold"), F.struct(*names).alias("__c"))
+    joined = left.join(F.broadcast(hot), left[key] == F.col("__hot"), "left")
+    joined = joined.withColumn("__k", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.col(spread)))
+    joined = joined.join(cold, F.col("__k") == F.col("__cold"), "left").withColumn("__r", F.coalesce("__h", "__c"))
+    if how == "inner":
+        joined = joined.filter("__r is not null")
+    return joined.select(*left.columns, *(F.col(f"__r.{c}").alias(c) for c in names))
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("\0null")))
 
@@ -68,8 +89,20 @@ def row_key(df: DataFrame) -> Column:
     return F.concat(F.hex(F.xxhash64(ident, text)), F.hex(F.hash(text, ident)))
 
 
+def _few_bytes(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ARROW_BYTES, that Python workers stay small; a lower bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).strip().lower()
+    if now != f"{ARROW_BYTES}b":
+        unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(now.rstrip("b")[-1:], 0)
+        digits = now.rstrip("bkmgt")
+        if not digits.isdigit() or int(digits) << unit > ARROW_BYTES or int(digits) == 0:
+            spark.conf.set(name, f"{ARROW_BYTES}b")
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, first match by exact name, whatever other columns df carries, clashing names included."""
+    _few_bytes(df.sparkSession)
     at = {}
     for i, n in enumerate(df.columns):
         at.setdefault(n, i)
@@ -83,6 +116,5 @@ DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table of documents. Arrow batches of texts are held to 8 MB, that Python workers stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """The table of documents."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

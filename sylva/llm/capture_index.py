@@ -159,7 +159,6 @@ def histories(pages: DataFrame, time: str | None = None, run_rows: int = RUN, ra
     bounds = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
     shared = spark.sparkContext.broadcast(bounds)
     pieces = index.mapInArrow(_pieces(lambda: shared.value, run_rows), "range int, piece binary")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     merged = pieces.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_merged, f"{_RECORD}, nth bigint, previous string, pos bigint, range int")
     merged = stored(merged, "merged")
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,31 @@ def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(nodes, t.schema.field("u").type), pa.array(nodes[root], t.schema.field("u").type)], ["node", "component"])
 
 
+def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges (a, b), some that connect the same nodes: what many pairs of one group shrink to before any shuffle."""
+    held, n = [], 0
+
+    def thin() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        kind = t.schema.field("a").type
+        one = list(_joined(pa.RecordBatch.from_arrays([t.column("a").combine_chunks(), t.column("b").combine_chunks()], ["u", "v"]) for _ in (0,)))[0]
+        tree = pa.compute.not_equal(one.column("node"), one.column("component"))
+        return pa.record_batch([one.column("component").filter(tree).cast(kind), one.column("node").filter(tree).cast(kind)], ["a", "b"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= ONE_TASK:
+            held = [thin()]
+            n = held[0].num_rows
+            if n >= ONE_TASK // 2:
+                yield held.pop()
+                n = 0
+    if held:
+        yield thin()
+
+
 def _star(both: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (the larger ones, or the smaller ones and itself) hang on to its least neighbour."""
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -50,10 +76,11 @@ def components(edges: DataFrame) -> DataFrame:
     Every step is written to the shared folder, so lineage stays short. It ends when a
     step changes nothing, after O(log^2 n) steps.
     """
-    stars = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    kind = dict(edges.dtypes)["a"]
+    edges = edges.select("a", "b").filter("a is not null and b is not null and a <> b").mapInArrow(forest, f"a {kind}, b {kind}")
+    stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     stars = stored(stars, "edges")
     if stars.count() <= ONE_TASK:
-        kind = dict(stars.dtypes)["u"]
         return stars.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}")
     seen = None
     while True:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sylva.llm import capture_index, components, decontamination, jaccard_join, line_dedup, packing, paragraphs, quality_rules, secrets, toxicity, url_filter
+from sylva.llm import _shared, capture_index, components, decontamination, jaccard_join, line_dedup, packing, paragraphs, quality_rules, secrets, toxicity, url_filter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [f"w{i}" for i in range(400)]
@@ -47,7 +47,7 @@ def test_hard_rows_and_empty_tables(spark, tables):
         assert decontamination.drop_leaks(docs, bench).count() == n
         assert secrets.link(docs).count() == 0
         assert {r.doc_id for r in paragraphs.repeats(docs).collect()} <= {5}
-        assert jaccard_join.jaccard_pairs(docs).count() == 0
+        assert {tuple(r) for r in jaccard_join.classes(docs).collect()} == set()
         assert jaccard_join.keep_one(docs).count() == max(0, n - 2)
         placed = packing.pack(docs)
         assert placed.select(F.sum("length")).first()[0] == ((1 + 50 + 30_000 + 3 * 80) if n else None)
@@ -57,37 +57,56 @@ def test_hard_rows_and_empty_tables(spark, tables):
         assert url_filter.judge(pages, rules).filter("verdict = 'none'").count() == n
 
 
-def test_jaccard_against_brute_force(spark):
-    rng = random.Random(2)
-    texts = [prose(rng, 60) for _ in range(25)]
-    for t in list(texts):
-        for _ in range(3):
-            w = t.split()
-            for _ in range(rng.randrange(0, 8)):
-                w[rng.randrange(len(w))] = rng.choice(WORDS)
-            texts.append(" ".join(w))
-    grams = [{tuple(t.split()[i : i + 3]) for i in range(58)} for t in texts]
-    first = [i for i, g in enumerate(grams) if g not in grams[:i]]  # others are paired with it alone
-    want = {(i, j) for i, j in itertools.combinations(first, 2) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.5}
-    got = {(r.doc_a, r.doc_b) for r in jaccard_join.jaccard_pairs(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).filter("jaccard < 1").collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
+def brute_classes(texts):
+    """Of (doc_id, text): doc_id -> (class, links), by all pairs."""
+    grams = [{tuple(t.split()[i : i + 3]) for i in range(max(1, len(t.split()) - 2))} for _, t in texts]
+    links, root = [0] * len(texts), list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.5:
+            links[i] += 1
+            links[j] += 1
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return {d: (texts[top(i)][0], links[i]) for i, (d, _) in enumerate(texts) if links[i]}
 
-def test_all_pairs_against_brute_force(spark, monkeypatch):
+
+@pytest.mark.parametrize("hot", [1_000_000, 2])
+def test_classes_against_brute_force(spark, monkeypatch, hot):
     rng = random.Random(11)
-    texts = []
-    for n in (1, 2, 7):
+    texts = ["one", "one", "two words", "two words more"]
+    for n in (1, 2, 7, 90):
         t = prose(rng, 60)
         near = t.split()
         near[30] = "changed"
         texts += [t] * n + [" ".join(near)] * 3
-    grams = [{tuple(t.split()[i : i + 3]) for i in range(58)} for t in texts]
-    want = sorted((i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.5)
+    for _ in range(80):  # one group of many different texts
+        w = t.split()
+        w[rng.randrange(60)] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    texts += [prose(rng, 60) for _ in range(20)]
+    monkeypatch.setattr(_shared, "HOT", hot)
     docs = make(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    for most in (1000, 2):
-        monkeypatch.setattr(jaccard_join, "_SLOT", most)
-        assert sorted((r.doc_a, r.doc_b) for r in jaccard_join.all_pairs(docs).collect()) == want
-    assert len(jaccard_join.jaccard_pairs(docs).collect()) < len(want)
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.classes(docs.union(docs.limit(3))).collect()}
+    assert got == brute_classes(list(enumerate(texts)))
+
+
+def test_few_links_are_missed(spark):
+    rng = random.Random(2)
+    texts = [prose(rng, 60) for _ in range(25)]
+    for t in list(texts):
+        for _ in range(3):
+            w = t.split()
+            for _ in range(rng.randrange(0, 8)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    want = {d: n for d, (_, n) in brute_classes(list(enumerate(texts))).items()}
+    got = {r.doc_id: r.links for r in jaccard_join.classes(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert all(got[d] <= want[d] for d in got) and sum(got.values()) >= 0.97 * sum(want.values())
 
 
 def test_tree_misses_nothing():
@@ -109,6 +128,27 @@ def test_components_both_ways(spark, monkeypatch):
     assert sorted(map(tuple, components.components(df).collect())) == one
 
 
+def test_components_of_a_large_random_graph(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3000, (2, 2500))
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if x != y:
+            x, y = top(x), top(y)
+            root[max(x, y)] = min(x, y)
+    want = {x: top(x) for x in list(root)}
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a bigint, b bigint").repartition(4)
+    for most in (1 << 20, 64):
+        monkeypatch.setattr(components, "ONE_TASK", most)
+        assert {r.node: r.component for r in components.components(df).collect()} == want
+
+
 def test_line_spread_is_exact_at_the_threshold(spark):
     rows = [(i, f"own line {i}\nshared by seven\nand more of it {i}", f"s{i}") for i in range(7)] + [(10 + i, f"own text {i}\nshared by eight\nand more of it {i}", f"s{i}") for i in range(8)]
     out = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.clean_lines(make(spark, rows)).collect()}
