@@ -82,6 +82,11 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("\0null")))
 
 
+def text_digest(text: Column) -> Column:
+    """128 bits that tell texts apart."""
+    return F.md5(F.coalesce(text, F.lit("\0null")))
+
+
 def row_key(df: DataFrame) -> Column:
     """96 bits or so that tell rows of documents apart by identifier and text; repeated rows share it."""
     ident = F.coalesce(df["doc_id"].cast("string"), F.lit("\0null"))

@@ -3,7 +3,10 @@
 A HyperLogLog sketch of the sites is kept for each line hash; partial sketches merge in
 the aggregation's shuffle. Lines whose estimate is near the threshold have their
 distinct sites counted exactly, so the decision is exact where the sketch can't be
-trusted.
+trusted. Copies of one document on many sites spread its lines, too, but aren't
+boilerplate: a line has to reach the threshold again among those documents that consist
+for the most part of other lines. One that does goes everywhere, also from documents
+that hold nothing else.
 """
 
 from __future__ import annotations
@@ -11,56 +14,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylva.llm._shared import DOCUMENTS, documents, only, small, stored, text_key
+from sylva.llm._shared import DOCUMENTS, documents, only, small, stored, text_digest
 
 MIN_SITES, LG_K = 8, 10
-#: A document of which more than this share of characters would go is a copy of others rather than a carrier of boilerplate, and stays whole.
-MOST = 0.5
+#: A document vouches for its wide-spread lines if they make up at most this share of its characters.
+PART = 0.5
 
 
 def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """(h): hashes of trimmed, non-blank lines found on at least min_sites distinct sources. A null source is no site."""
-    lines = only(docs, "text", "source").select(F.explode(F.split("text", "\n", -1)).alias("line"), F.col("source").cast("string").alias("site"))
-    lines = lines.filter("trim(line) <> '' and site is not null").select(_hash(F.col("line")).alias("h"), "site")
+def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """(h): those of lines (h, site) that have at least min_sites distinct sites. A null site is none."""
+    lines = lines.filter("site is not null").select("h", "site")
     margin = max(1.0, 4 * 1.04 / 2 ** (lg_k / 2) * min_sites)
-    spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
-    spread = stored(spread.filter(F.col("sites") >= min_sites - margin), "spread")
-    near = spread.filter(F.col("sites") <= min_sites + margin).select("h")
+    wide = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
+    wide = stored(wide.filter(F.col("sites") >= min_sites - margin), "spread")
+    near = wide.filter(F.col("sites") <= min_sites + margin).select("h")
     exact = lines.join(small(near, 8), "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("sites"))
-    sure = spread.filter(F.col("sites") > min_sites + margin).select("h")
-    return sure.union(exact.filter(F.col("sites") >= min_sites).select("h"))
+    sure = wide.filter(F.col("sites") > min_sites + margin).select("h")
+    return stored(sure.union(exact.filter(F.col("sites") >= min_sites).select("h")), "wide")
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, most: float = MOST) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
+    """(h, site, t, size, n): non-blank lines; t and size are their text's digest and length, n the line's."""
+    whole = docs.select("text", F.col("source").cast("string").alias("site"), F.length("text").alias("size"), F.explode(F.split("text", "\n", -1)).alias("line"))
+    whole = whole.filter("trim(line) <> ''")
+    return whole.select(_hash(F.col("line")).alias("h"), "site", "size", F.length("line").alias("n"), "text")
+
+
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, part: float = PART) -> DataFrame:
     """All columns of documents, text without its boilerplate lines and n_chars to suit, and removed_lines.
 
-    Null and empty texts, and rows whose source is null (cleaned all the same, though no site),
-    stay as they are but for such lines; blank lines stay; repeated rows are each cleaned.
-    A text whose boilerplate exceeds `most` of its characters is left whole.
+    Boilerplate are trimmed, non-blank lines found on at least min_sites distinct sources, among all
+    documents and again among those whose lines of that kind make up at most `part` of their
+    characters. A null source is no site; such a row is cleaned all the same. Null and empty texts
+    stay as they are; of a text of boilerplate alone its blank lines stay, or nothing; long texts
+    are cleaned whole; repeated rows are each cleaned; an empty table gives an empty one.
     """
     docs = only(docs, *DOCUMENTS)
-    gone = stored(boilerplate(docs, min_sites), "boilerplate")
-    lines = docs.select(text_key(F.col("text")).alias("t"), F.explode(F.split("text", "\n", -1)).alias("line")).select("t", _hash(F.col("line")).alias("h"))
-    held = lines.join(small(gone, 8), "h").groupBy("t").agg(F.collect_set("h").alias("__gone"))
-    held = stored(held, "held").withColumnRenamed("t", "__t")
-    joined = docs.withColumn("__t", text_key(F.col("text"))).join(small(held, 120), "__t", "left")
+    lines = _lines(docs)
+    wide = small(spread(lines.select("h", "site"), min_sites), 8)
+    held = lines.join(wide, "h").groupBy(text_digest(F.col("text")).alias("t"), "site", "size", "h").agg(F.sum("n").alias("n"))
+    held = stored(held, "held")
+    share = held.groupBy("t", "site", "size").agg(F.sum("n").alias("lost"), F.collect_list("h").alias("all"))
+    vouching = share.filter(F.col("lost") <= part * F.col("size")).select(F.explode("all").alias("h"), "site")
+    gone = small(spread(vouching, min_sites), 8)
+    gone = stored(held.join(gone, "h", "left_semi").groupBy("t").agg(F.collect_set("h").alias("__gone")), "gone").withColumnRenamed("t", "__t")
+    joined = docs.withColumn("__t", text_digest(F.col("text"))).join(small(gone, 140), "__t", "left")
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__gone"), _hash(x)))
-    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    joined = joined.withColumn("__n", F.size(lines) - F.size("__kept")).withColumn("__new", F.array_join("__kept", "\n"))
-    lost = F.length("text") - F.length("__new") - F.col("__n")
-    change = F.coalesce((F.size("__kept") > 0) & (F.col("__n") > 0) & (lost <= most * F.length("text")), F.lit(False))
-    return joined.withColumn("__change", change).select(
+    joined = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept)).withColumn("__new", F.array_join("__kept", "\n"))
+    return joined.select(
         "doc_id",
-        F.when(F.col("__change"), F.col("__new")).otherwise(F.col("text")).alias("text"),
+        F.coalesce("__new", "text").alias("text"),
         "lang",
         "source",
-        F.when(F.col("__change"), F.length("__new").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"),
-        F.when(F.col("__change"), F.col("__n")).otherwise(F.lit(0)).alias("removed_lines"),
+        F.when(F.col("__new").isNotNull(), F.length("__new").cast("bigint")).otherwise(F.col("n_chars")).alias("n_chars"),
+        F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).alias("removed_lines"),
     )
 
 
@@ -70,17 +82,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
-), gone AS (
+  SELECT doc_id, source, length(text) AS size, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
+), wide AS (
   SELECT trim(l) AS line FROM lines WHERE trim(l) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}
+), held AS (
+  SELECT doc_id, source, size, line, length(l) AS n FROM lines JOIN wide ON trim(l) = line
+), vouching AS (
+  SELECT doc_id FROM held GROUP BY doc_id, size HAVING sum(n) <= {PART} * size
+), gone AS (
+  SELECT line FROM held SEMI JOIN vouching USING (doc_id) GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
 ), judged AS (
   SELECT lines.*, gone.line IS NOT NULL AS bad FROM lines LEFT JOIN gone ON trim(l) = gone.line
 ), made AS (
-  SELECT doc_id, string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT bad) AS new, count(*) FILTER (WHERE bad) AS n,
-    count(*) FILTER (WHERE NOT bad) AS kept, coalesce(sum(length(l)) FILTER (WHERE bad), 0) AS lost
-  FROM judged GROUP BY doc_id
+  SELECT doc_id, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT bad), '') AS new, count(*) FILTER (WHERE bad) AS n FROM judged GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN n > 0 AND kept > 0 AND lost <= {MOST} * length(text) THEN new ELSE text END AS text,
-  CAST(CASE WHEN n > 0 AND kept > 0 AND lost <= {MOST} * length(text) THEN n ELSE 0 END AS INTEGER) AS removed_lines
+SELECT d.doc_id, CASE WHEN n > 0 THEN new ELSE text END AS text, CAST(coalesce(n, 0) AS INTEGER) AS removed_lines
 FROM documents d LEFT JOIN made USING (doc_id)
 """

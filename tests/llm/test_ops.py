@@ -155,6 +155,15 @@ def test_line_spread_is_exact_at_the_threshold(spark):
     assert all(out[i][1] == 0 for i in range(7)) and all(out[10 + i] == (f"own text {i}\nand more of it {i}", 1) for i in range(8))
 
 
+def test_copies_are_no_boilerplate_but_boilerplate_goes_everywhere(spark):
+    notice = "all rights reserved by the owners of this page"
+    rows = [(i, f"a text of its own, number {i}, and longer than the notice below it\n{notice}", f"s{i}") for i in range(9)]
+    rows += [(20 + i, f"first line of a copied text\nits second line\nends with {i}", f"s{i}") for i in range(9)] + [(40, f"{notice}\n{notice}", "s1"), (41, f"{notice}\n\n", None)]
+    out = {r.doc_id: (r.text, r.removed_lines, r.n_chars) for r in line_dedup.clean_lines(make(spark, rows)).collect()}
+    assert all(out[i][1] == 1 for i in range(9)) and all(out[20 + i][1] == 0 for i in range(9))
+    assert out[40] == ("", 2, 0) and out[41] == ("\n", 1, 1)
+
+
 def judged(m, docs):
     return m.score(*m.rows(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))) > m.threshold
 
@@ -322,6 +331,16 @@ def test_secrets_need_their_parts(spark):
     assert got == {(1, "weak", 1), (4, "strong", 0)}
 
 
+def test_secrets_overlap_and_are_whole(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----"
+    long = "password: " + "x" * 500
+    rows = [(1, "see https://ghp_" + "a1" * 18 + "@host.example/o", "s"), (2, "GET https://h.example/?api_key=abcdefgh", "s"), (3, key.format("AAAA+/=\nBB"), "s"), (4, key.format("CCCC"), "s")]
+    rows += [(5, f"{long} at 10.0.0.1", "s"), (6, "password: me.too@host.example", "s"), (7, "token=ghp_" + "a1" * 18, "s"), (8, "token = abcdef123456\r\n\r\nat 10.0.0.1", "s")]
+    got = {r.doc_id: r for r in secrets.link(make(spark, rows)).collect()}
+    assert {i: r.strength for i, r in got.items()} == {1: "strong", 2: "weak", 3: "strong", 4: "strong", 5: "weak", 7: "strong"}
+    assert got[3].fingerprint != got[4].fingerprint and got[5].length == len(long) and got[1].endpoints == 1
+
+
 def test_longest_entry_decides_both_ways(spark):
     pages = spark.createDataFrame([(1, "http://a.b.c/x/y"), (2, "http://b.c/x"), (3, "http://u@www.B.c:80/x?q"), (4, None), (5, "http://bb.c/"), (1, "http://a.b.c/x/y")], "page_id bigint, url string")
     rules = spark.createDataFrame([("b.c", "block"), ("b.c/x", "allow"), ("a.b.c", "allow"), ("a.b.c/x/y", "allow"), ("a.b.c/x/y", "block")], "entry string, verdict string")
