@@ -6,11 +6,13 @@ directions of term space; passages and benchmark items are compared by cosine th
 Pairs that are close enough are verified on their tokens: by the length of their longest
 common subsequence, and by whether the item's answer, its closing words, stands in the
 passage. Before a common subsequence is computed it's bounded by the number of the item's
-tokens that the passage holds at all, which loses nothing.
+tokens that the passage holds at all, chunk by chunk for all items at once, then exactly
+for those that are left, which loses nothing.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -28,8 +30,8 @@ CHUNK, TERMS, SKETCH, RANK = 32, 1 << 14, 128, 64
 #: Least cosine of a candidate; least share of an item in the common subsequence alone, and with the answer; the answer's tokens.
 COSINE, COMMON, WITH_ANSWER, ANSWER = 0.3, 0.75, 0.5, 6
 #: An item of fewer tokens is a phrase that any text may hold and isn't looked for. Items that one pass over the corpus looks for.
-LEAST, BLOCK = 8, 20_000
-_PAD, _WORD = 0xFFFF, 64
+LEAST, BLOCK = 8, 5_000
+_PAD, _WORD, _TILE = 0xFFFF, 64, 256
 _CELLS = SKETCH * TERMS
 
 
@@ -147,9 +149,11 @@ class Index:
     ids: list[int] = field(default_factory=list)
     lengths: list[int] = field(default_factory=list)
     answers: list[np.ndarray] = field(default_factory=list)
-    tokens: list[np.ndarray] = field(default_factory=list)
+    tokens: list[np.ndarray] = field(default_factory=list)  # tiles: the first piece, rows of tokens, how often pieces hold these, least bounds
     whose: list[int] = field(default_factory=list)
     places: np.ndarray = field(default_factory=lambda: np.zeros((0, RANK), np.float32))
+    endings: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # sorted hashes of answers, and whose they are
+    tiles: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         return self.project[np.where(ids == _PAD, TERMS, ids & (TERMS - 1))].sum(-2)
@@ -187,9 +191,30 @@ def index(project: np.ndarray, items: list[tuple[int, str]]) -> Index:
         out.answers.append(ids[-ANSWER:])
     if places:
         out.places = _unit(np.array(places, np.float32))
+    for first in range(0, len(out.tokens), _TILE):
+        some = out.tokens[first : first + _TILE]
+        vocabulary = np.unique(np.concatenate(some))
+        row = np.zeros(1 << 16, np.uint16)
+        row[vocabulary] = np.arange(1, len(vocabulary) + 1)
+        counts = np.zeros((len(vocabulary) + 1, len(some)), np.uint8)
+        for k, piece in enumerate(some):
+            np.add.at(counts, (row[piece], k), 1)
+        need = [COMMON if out.lengths[w] <= _WORD else WITH_ANSWER for w in out.whose[first : first + _TILE]]
+        out.tiles.append((first, row, counts, np.ceil(np.array([n * len(p) for n, p in zip(need, some, strict=True)]) - 1e-9).astype(np.int16)))
+    order = np.argsort(ends := _run_hashes(np.concatenate([out.tokens[w][-ANSWER:] for w in np.cumsum(np.bincount(out.whose)) - 1])) if out.ids else np.zeros(0, np.uint64), kind="stable")
+    out.endings = ends[order], order
     return out
 
 
+def _run_hashes(tokens: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of ANSWER tokens each: of a grid's rows, or from each place of a row on."""
+    wide = tokens.reshape(-1, ANSWER) if at is None else tokens[at[:, None] + np.arange(ANSWER)]
+    h = np.zeros(len(wide), np.uint64)
+    for j in range(ANSWER):
+        h = (h + wide[:, j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(h)
+
+
 def _bits(item: np.ndarray, table: np.ndarray) -> None:
     for i, x in enumerate(item):
         table[x] |= np.uint64(1) << np.uint64(i)
@@ -245,25 +270,53 @@ def _hits(ix: Index, held: list, table: np.ndarray) -> dict[tuple[int, int], tup
     pair[follows] += place[1:][follows[:-1]]
     pair, place = _unit(pair), _unit(place)
     edge = np.full((1, CHUNK), _PAD, np.uint16)
-    wide = np.concatenate([edge, grid, edge, edge])
-    own = np.concatenate([[-1], owner, [-1, -1]])
+    wide = np.concatenate([grid, edge, edge])
+    own = np.concatenate([owner, [-1, -1]])
+    ends, whose = ix.endings
+    flat = grid.ravel()
+    answered = np.zeros((0, 2), np.int64)
+    if len(flat) >= ANSWER:
+        h = _run_hashes(flat, np.arange(len(flat) - ANSWER + 1))
+        i = np.minimum(np.searchsorted(ends, h), len(ends) - 1)
+        hit = np.flatnonzero(ends[i] == h)
+        answered = np.array([(p // CHUNK, whose[k]) for p in hit for k in range(i[p], np.searchsorted(ends, h[p], "right"))], np.int64).reshape(-1, 2)
     best: dict[tuple[int, int], dict[int, tuple[int, float, bool]]] = {}
-    for first in range(0, len(ix.tokens), 64):
-        near = np.maximum(pair @ ix.places[first : first + 64].T, place @ ix.places[first : first + 64].T)
-        for k in range(first, min(first + 64, len(ix.tokens))):
+    lone = np.sort(grid, 1)
+    lone[:, 1:][lone[:, 1:] == lone[:, :-1]] = _PAD
+    for first, row, counts, least in ix.tiles:
+        near = np.maximum(pair @ ix.places[first : first + _TILE].T, place @ ix.places[first : first + _TILE].T)
+        rows = row[lone]
+        has = np.zeros((len(grid) + 2, len(least)), np.int16)
+        for part in np.array_split(np.arange(len(grid)), len(grid) // 1024 + 1):
+            here = np.zeros((len(part), len(least)), np.uint8)
+            for j in range(CHUNK):
+                here += np.take(counts, rows[part, j], 0)
+            has[part] = here
+        bound = has[:-2].copy()
+        for d in (1, 2):
+            bound += np.where((own[d : len(grid) + d] == owner)[:, None], has[d : len(grid) + d], np.int16(0))
+        near[:-1] = np.maximum(near[:-1], np.where(follows[:-1, None], near[1:], -1))
+        some = bound >= least
+        for at, who in answered:  # with the answer there, less is enough, in the windows that reach it
+            for k in range(max(first, bisect.bisect_left(ix.whose, who)), min(first + len(least), bisect.bisect_right(ix.whose, who))):
+                for i in range(max(0, at - 2), at + 1):
+                    some[i, k - first] |= bound[i, k - first] >= WITH_ANSWER * len(ix.tokens[k])
+        some &= near >= COSINE
+        at_all, k_all = np.nonzero(some)
+        order = np.argsort(k_all, kind="stable")
+        at_all, k_all = at_all[order], k_all[order]
+        cut = np.flatnonzero(np.concatenate([[True], k_all[1:] != k_all[:-1]])) if len(k_all) else []
+        cut = [*cut, len(k_all)]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            k, at = first + int(k_all[x]), at_all[x:y]
             item, answer = ix.tokens[k], ix.answers[ix.whose[k]].tobytes()
-            at = np.flatnonzero(near[:, k - first] >= COSINE)
-            if not len(at):
-                continue
+            text = np.concatenate([np.where((own[at + d] == owner[at])[:, None], wide[at + d], _PAD) for d in range(3)], 1)
             _bits(item, table)
-            has = np.zeros(len(wide), np.uint64)
-            has[1:-2] = np.bitwise_or.reduce(table[grid], 1)
+            enough = np.bitwise_count(np.bitwise_or.reduce(table[text], 1)) >= WITH_ANSWER * len(item)
             table[item] = 0
-            bound = reduce(np.bitwise_or, (np.where(own[at + 1 + d] == owner[at], has[at + 1 + d], np.uint64(0)) for d in (-1, 0, 1, 2)))
-            at = at[np.bitwise_count(bound) >= WITH_ANSWER * len(item)]
+            at, text = at[enough], text[enough]
             if not len(at):
                 continue
-            text = np.concatenate([np.where((own[at + 1 + d] == owner[at])[:, None], wide[at + 1 + d], _PAD) for d in (-1, 0, 1, 2)], 1)
             length = common(item, text, table)
             for i in np.flatnonzero(length >= WITH_ANSWER * len(item)):
                 parts = best.setdefault((int(owner[at[i]]), ix.whose[k]), {})

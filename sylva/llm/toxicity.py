@@ -113,15 +113,18 @@ def fit(terms: list[np.ndarray], toxic: np.ndarray, seed: int = 0) -> Machine:
     """Adagrad on the logistic loss, classes weighted alike, with proximal steps that leave most terms at zero.
     A fifth of the documents, held out, says when to stop and sets the threshold. Terms of fewer than MIN_DOCS
     documents are left out. Without documents of both classes nothing is rejected."""
-    kept, df = np.unique(np.concatenate(terms) if terms else np.zeros(0, np.int64), return_counts=True)
-    kept = kept[df >= MIN_DOCS]
+    df = np.zeros(_TOP + 64, np.int32)
+    for x in terms:
+        df[x] += 1
+    kept = np.flatnonzero(df >= MIN_DOCS).astype(np.int32)
+    del df
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(kept), np.float32), rng.normal(0, 0.01, (len(kept), FACTORS)).astype(np.float32)
     none = Machine(kept[:0], 0.0, w[:0], v[:0], np.inf)
     if len(np.unique(toxic)) < 2 or not len(kept):
         return none
     model = Machine(kept, 0.0, w, v, 0.0)
-    docs = [model.rows(x, np.array([0, len(x)]))[0] for x in terms]
+    docs = [model.rows(x, np.array([0, len(x)]))[0].astype(np.int32) for x in terms]
     held = np.zeros(len(docs), bool)
     for c in (0, 1):
         held[np.flatnonzero(toxic == c)[::5][1:]] = True
@@ -226,7 +229,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     got = d.mapInArrow(lambda x: _sample_terms(shared.value)(x), "h bigint, toxic int, terms binary").toArrow()
     order = np.argsort(got.column("h").to_numpy(), kind="stable")
     terms = got.column("terms")
-    return fit([np.frombuffer(terms[int(i)].as_buffer(), np.int32).astype(np.int64) for i in order], got.column("toxic").to_numpy()[order])
+    return fit([np.frombuffer(terms[int(i)].as_buffer(), np.int32) for i in order], got.column("toxic").to_numpy()[order])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
