@@ -34,9 +34,10 @@ def suppress(issues: DataFrame, skips: DataFrame) -> DataFrame:
 
 
 def describe(issues: DataFrame, checkers: DataFrame) -> DataFrame:
-    """Issues with their checker's category and severity, empty where it has none."""
-    c = F.broadcast(checkers.select("id", "category", "severity").dropDuplicates(["id"]))
-    return issues.join(c, "id", "left").withColumns({k: F.coalesce(k, F.lit("")) for k in ("category", "severity")})
+    """Issues with their checker's category and severity, empty where it has none; of checkers of one id the greatest pair counts."""
+    c = checkers.groupBy("id").agg(F.max(F.struct("category", "severity")).alias("__c"))
+    joined = issues.join(c, "id", "left")
+    return joined.withColumns({k: F.coalesce(F.col(f"__c.{k}"), F.lit("")) for k in ("category", "severity")}).drop("__c")
 
 
 def exit_status(issues: DataFrame, severities: list[str] = ("critical",), categories: list[str] = ("bug-risk",), code: int = 1) -> DataFrame:
@@ -53,11 +54,38 @@ def as_json(issue: Column) -> Column:
     return F.to_json(issue)
 
 
+def as_record(issues: DataFrame) -> Column:
+    """The struct that an issue is in JSON: rows from 1, columns from 0."""
+    at = lambda row, col: F.struct((F.col(row) + 1).alias("row"), F.col(col).alias("column"))
+    span = F.struct(F.col("path").alias("filename"), at("row", "col").alias("start"), at("end_row", "end_col").alias("end"))
+    return F.struct("category", "severity", "message", span.alias("range"), "id")
+
+
+_ISSUE = "category string, severity string, message string, range struct<filename: string, start: struct<row: int, column: int>, end: struct<row: int, column: int>>, id string"
+
+
+def from_json(lines: DataFrame) -> DataFrame:
+    """Issues of JSON lines (line), as as_record writes them; what isn't JSON is left out."""
+    i = lines.select(F.from_json("line", _ISSUE).alias("i")).filter("i.id is not null or i.message is not null")
+    r = lambda end, x: F.col(f"i.range.{end}.{x}")
+    return i.select(F.col("i.range.filename").alias("path"), (r("start", "row") - 1).alias("row"), r("start", "column").alias("col"), (r("end", "row") - 1).alias("end_row"), r("end", "column").alias("end_col"), "i.id", "i.message", "i.category", "i.severity")
+
+
+def report(issues: DataFrame, form: str = "text") -> DataFrame:
+    """(line): an issue a line, as JSON or, whatever else is asked for, as text."""
+    line = as_json(as_record(issues)) if form == "json" else as_text(F.col("path"), F.col("row"), F.col("col"), F.col("message"))
+    return issues.select(line.alias("line"))
+
+
 def count_by_checker(checkers: DataFrame, issues: DataFrame) -> DataFrame:
     n = issues.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return checkers.select("id").distinct().join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("issues"))
 
 
+def count_by(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+
 def difference(expected: DataFrame, raised: DataFrame) -> DataFrame:
     """(file, line, expected, raised) where the sorted messages differ; an expected '' stands for any message."""
     lists = lambda df, name: df.groupBy("file", "line").agg(F.sort_array(F.collect_list("message")).alias(name))
@@ -70,6 +98,13 @@ def changed_only(files: DataFrame, changed: DataFrame) -> DataFrame:
     return files.join(changed.select("path").distinct(), "path", "left_semi")
 
 
+def changed_set(compared: DataFrame, working: DataFrame) -> DataFrame:
+    """(path): of compared (path, state) what isn't deleted, and of working (path, state) what changed, without what is deleted there."""
+    gone = working.filter("state = 'D'").select("path")
+    all_ = compared.filter("state <> 'D'").select("path").union(working.filter("state not in ('D', ' ')").select("path"))
+    return all_.distinct().join(gone, "path", "left_anti")
+
+
 def nearest_enclosing(refs: DataFrame, scopes: DataFrame) -> DataFrame:
     """Each ref (file_id, pre, ...) with the innermost scope (file_id, pre, subtree_end, name) around it."""
     s = scopes.select(F.col("file_id").alias("s_file"), F.col("pre").alias("s_pre"), F.col("subtree_end").alias("s_end"))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions.text import fill_message, path_kept
 from sylva.operators import issues as ops
-from sylva.plans.checkers import check, load
-from sylva.sources import html
-from sylva.sources.languages import comment_mark, detect, extension
-from sylva.sources.store import stored
+from sylva.checkers import builtin
+from sylva.checkers.examples import EXAMPLES
+from sylva.plans import tables
+from sylva.plans.checkers import Checker, check, load
+from sylva.plans.project import expected_of
+from sylva.sources import frontends
+from sylva.sources.languages import LANGUAGES, comment_mark, detect, extension
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,34 +46,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("source"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("source")).repartition(spark.sparkContext.defaultParallelism)  # the test table is one small file
 
 
-@query()
+_VARIANTS = [(k, i, lang, source, rows) for k, (i, lang, source, rows) in enumerate((i, lang, s, r) for i, (lang, bad, rows, good) in sorted(EXAMPLES.items()) for s, r in ((bad, rows), (good, [])))]
+_EXPECTED = "(VALUES " + ", ".join(f"({k}, '{i}', {r})" for k, i, _, _, rows in _VARIANTS for r in rows) + ") v(variant, id, \"row\")"
+
+
+def example_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each event: the examples of all checkers by turns, in all languages."""
+    variants = spark.createDataFrame([(k, i, lang, "." + LANGUAGES[lang][1][0].lstrip("."), source) for k, i, lang, source, _ in _VARIANTS], "variant int, of string, lang string, ext string, source string")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), (F.col("event_id") % len(_VARIANTS)).cast("int").alias("variant"))
+    return e.join(F.broadcast(variants), "variant").repartition(spark.sparkContext.defaultParallelism).withColumn("path", F.concat(F.lit("src/f"), F.col("file_id"), F.col("ext")))  # two rows a checker
+
+
+@query(f"SELECT event_id AS file_id, v.id, v.row::INT AS row, 'src/f' || event_id AS stem FROM events JOIN {_EXPECTED} ON event_id % {len(_VARIANTS)} = variant")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages parsed once, three checkers over the nodes, issues with category and severity, as JSON."""
-    files = page_files(spark, sf_dir)
-    loaded = [load(c) for c in CHECKERS]
-    found = check(stored(html.nodes(files)), loaded)
-    info = spark.createDataFrame([(c.id, c.category, c.severity) for c in loaded], "id string, category string, severity string")
-    found = ops.describe(found, info).join(files.select("file_id", "path"), "file_id")
-    place = F.struct(F.col("path").alias("filename"), F.struct((F.col("row") + 1).alias("row"), F.col("col").alias("column")).alias("start"), F.struct((F.col("end_row") + 1).alias("row"), F.col("end_col").alias("column")).alias("end"))
-    return found.select("file_id", "id", ops.as_json(F.struct("category", "severity", "message", place.alias("range"), "id")).alias("issue"))
+    """All checkers over a project in ten languages: parsed once, checked where it's parsed, reported with the checker that each file is an example of."""
+    files = example_files(spark, sf_dir)
+    found = check(files, builtin()).withColumnRenamed("file_id", "f")
+    own = files.select("file_id", "of")
+    return found.join(own, (F.col("f") == F.col("file_id")) & (F.col("id") == F.col("of"))).select("file_id", "id", "row", F.regexp_extract("path", r"^([^.]*)", 1).alias("stem"))
+
+
+def _checker_query(c: Checker) -> None:
+    mine = [(k, r) for k, i, _, _, rows in _VARIANTS if i == c.id for r in rows]
+    values = ", ".join(f"({k}, {r})" for k, r in mine)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = example_files(spark, sf_dir).filter(F.col("of") == c.id)
+        return check(files, [c]).select("file_id", "id", "row", "severity", "category")
+
+    name = "checker_" + c.id.replace("-", "_")
+    run.__name__ = name
+    QUERIES[name] = run
+    SQL[name] = f"SELECT event_id AS file_id, '{c.id}' AS id, v.row::INT AS row, '{c.severity}' AS severity, '{c.category}' AS category FROM events JOIN (VALUES {values}) v(variant, \"row\") ON event_id % {len(_VARIANTS)} = variant"
+
+
+for _c in builtin():
+    _checker_query(_c)
+
+
+@query()
+def html_issues_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages parsed once, three checkers in one pass, issues as JSON lines."""
+    return ops.report(check(page_files(spark, sf_dir), [load(c) for c in CHECKERS]), "json")
 
 
 @query()
 def html_node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.nodes(page_files(spark, sf_dir))
+    return frontends.nodes(page_files(spark, sf_dir))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS comment FROM pages")
 def comment_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.nodes(page_files(spark, sf_dir)).filter("kind = 'comment'").select(F.col("file_id").alias("page_id"), F.col("text").alias("comment"))
+    return tables.matches(page_files(spark, sf_dir), "(comment) @c", "c").select(F.col("file_id").alias("page_id"), F.col("text").alias("comment"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?i)<script[^>]*>[^<]'))::BIGINT AS scripts FROM pages WHERE regexp_matches(html, '(?i)<script[^>]*>[^<]')")
 def pattern_nested_child(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = check(html.nodes(page_files(spark, sf_dir)), [load(CHECKERS[0])])
+    found = check(page_files(spark, sf_dir), [load(CHECKERS[0])])
     return found.groupBy(F.col("file_id").alias("page_id")).agg(F.count(F.lit(1)).alias("scripts"))
 
 
@@ -102,18 +137,31 @@ def changed_files_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("(SELECT doc_id FROM labels UNION SELECT doc_id FROM documents WHERE n_chars > 2000) EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
 def changed_files_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return lab.select("doc_id").union(d.filter("n_chars > 2000").select("doc_id")).distinct().join(lab.filter("toxic = 1"), "doc_id", "left_anti")
+    compared = d.select(F.col("doc_id").alias("path"), F.when(F.col("n_chars") > 2000, "M").otherwise("D").alias("state"))
+    working = lab.select(F.col("doc_id").alias("path"), F.when(F.col("toxic") == 1, "D").otherwise("M").alias("state"))
+    return ops.changed_set(compared, working).select(F.col("path").alias("doc_id"))
+
 
+def comment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Python files: each line a comment."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("# "), x))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("python").alias("lang"), F.array_join(lines, "\n").alias("source"))
 
-@query("SELECT doc_id, (i - 1)::INT AS line, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(l, '[0-9]{3}') AND NOT regexp_matches(l, '@')")
+
+_DOC_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
+
+
+@query(f"SELECT doc_id, (i - 1)::INT AS line, '# ' || l AS text FROM {_DOC_LINES} WHERE regexp_matches(l, '[0-9]{{3}}') AND NOT regexp_matches(l, '@')")
 def pattern_match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    return lines.filter(F.col("text").rlike("[0-9]{3}") & ~F.col("text").rlike("@"))
+    found = tables.matches(comment_files(spark, sf_dir), '((comment) @c (#match? @c "[0-9]{3}") (#not-match? @c "@"))', "c")
+    return found.select(F.col("file_id").alias("doc_id"), F.col("row").alias("line"), "text")
 
 
-@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality = 1, true)")
+@query(f"SELECT doc_id, count(*) AS comments FROM {_DOC_LINES} GROUP BY doc_id")
 def predicate_unbound_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").filter(F.coalesce(F.col("quality") == 1, F.lit(True))).select("doc_id", "quality")
+    """A predicate on a capture that nothing binds holds."""
+    found = tables.matches(comment_files(spark, sf_dir), '((comment) @c (#eq? @unbound "never"))', "c")
+    return found.groupBy(F.col("file_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("comments"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -187,19 +235,81 @@ def expected_vs_raised_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.difference(li.filter("l_quantity > 25"), li.filter("l_tax > 0.03")).select("file", "line", F.col("expected").isNull().alias("unexpected"), F.col("raised").isNull().alias("missing"))
 
 
-@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY user_id")
+@query("SELECT user_id AS file_id, event_type AS name, max(n)::INT AS row FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) GROUP BY ALL")
 def last_definition_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    """A file for each user, with a function for each event; of functions of one name the last counts."""
+    line = F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: F.concat(F.lit("function "), x["event_type"], F.lit("() { return "), x["event_id"].cast("string"), F.lit(" }")))
+    files = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("file_id")).agg(F.array_join(line, "\n").alias("source")).withColumn("lang", F.lit("javascript"))
+    return tables.functions(files)
+
 
+_BIG = 250_000
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+
+@query(f"SELECT c_nationkey AS file_id, 'unused import \"c' || c_custkey || '\"' AS message FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > {_BIG})")
 def unused_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """A file for each nation that imports its customers and uses those with a large order."""
+    large = table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > _BIG).select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("used", F.lit(True))
+    c = table(spark, sf_dir, "customer").join(large, "c_custkey", "left")
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    line = F.concat(F.lit("import { "), name, F.lit(" } from 'm'\n"), F.when(F.col("used"), F.concat(F.lit("use("), name, F.lit(")\n"))).otherwise(""))
+    files = c.groupBy(F.col("c_nationkey").cast("bigint").alias("file_id")).agg(F.array_join(F.collect_list(line), "").alias("source"))
+    files = files.select("file_id", F.lit("a.js").alias("path"), F.lit("javascript").alias("lang"), "source")
+    return check(files, [c for c in builtin() if c.id == "unused-import"]).select("file_id", "message")
+
+
+@query("""SELECT o_orderkey AS file_id, name, kind, refs::INT AS refs, exported FROM orders, LATERAL (VALUES ('a' || o_custkey, 'import', 1, false), ('x', 'variable', CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END, o_orderstatus = 'F'), ('f', 'function', 1, false), ('p', 'parameter', 1, false), ('y', 'variable', 0, false)) v(name, kind, refs, exported)""")
+def scope_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each order: imports, declarations, a function with a parameter, an export."""
+    source = F.concat(F.lit("let x = a"), F.col("o_custkey"), F.lit("\nimport { b as a"), F.col("o_custkey"), F.lit(" } from 'm'\nfunction f(p) { const { y } = p }\n"), F.when(F.col("o_orderstatus") == "F", "export { x }\n").otherwise(""))
+    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit("javascript").alias("lang"), source.alias("source"))
+    return tables.variables(files).select("file_id", "name", "kind", "refs", "exported")
+
+
+@query("SELECT o_orderkey AS file_id, name, source FROM orders, LATERAL (VALUES ('b', 'a'), ('c', 'a'), ('c', 'b'), ('d', 'c'), ('e', CASE WHEN o_orderstatus = 'F' THEN 'd' ELSE 'a' END)) v(name, source)")
+def data_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values made of identifiers, sums, arguments and templates."""
+    last = F.when(F.col("o_orderstatus") == "F", "d").otherwise("a")
+    source = F.concat(F.lit("let a = 1\nlet b = a\nlet c = a + 'x' + b\nlet d = f(c, 2)\nlet e = `p ${"), last, F.lit("}`\n"))
+    return tables.flows(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit("javascript").alias("lang"), source.alias("source")))
 
 
-@query("SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations")
+@query("SELECT conv_id AS file_id, turn AS node_id, lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS previous FROM conversations")
 def prev_sibling_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("previous"))
+    c = table(spark, sf_dir, "conversations")
+    return tables.previous_siblings(c.select(F.col("conv_id").alias("file_id"), F.col("role").alias("parent_id"), F.col("turn").alias("node_id"), F.col("turn").alias("child_ix"))).select("file_id", "node_id", "previous")
+
+
+@query("SELECT event_id AS file, (CASE event_id % 3 WHEN 0 THEN 3 ELSE 2 END)::INT AS line, '' AS message FROM events WHERE event_id % 3 < 2")
+def pragma_expected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that test files say to expect an issue on."""
+    source = F.when(F.col("event_id") % 3 == 0, "a\n// <EXPECT-error> b\nc\n").when(F.col("event_id") % 3 == 1, "# <expect error>\nd\n").otherwise("# expect\n")
+    return expected_of(table(spark, sf_dir, "events").select(F.col("event_id").alias("path"), source.alias("source")))
+
+
+def _row_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_linenumber").alias("row"), F.lit(2).alias("col"), F.col("l_linenumber").alias("end_row"), F.lit(9).alias("end_col"), F.col("l_returnflag").alias("id"), F.col("l_linestatus").alias("message"), F.lit("security").alias("category"), F.lit("error").alias("severity"))
+
+
+_JSON = """'{"category":"security","severity":"error","message":"' || l_linestatus || '","range":{"filename":"f' || l_orderkey || '","start":{"row":' || (l_linenumber + 1) || ',"column":2},"end":{"row":' || (l_linenumber + 1) || ',"column":9}},"id":"' || l_returnflag || '"}'"""
+
+
+@query(f"SELECT {_JSON} AS line FROM lineitem")
+def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.report(_row_issues(spark, sf_dir), "json")
+
+
+@query("SELECT 'f' || l_orderkey AS path, l_linenumber AS row, l_returnflag AS id, l_linestatus AS message FROM lineitem")
+def issues_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.from_json(ops.report(_row_issues(spark, sf_dir), "json")).select("path", "row", "id", "message")
+
+
+@query("SELECT lang, count(*) AS files FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'ruby' END AS lang FROM events) WHERE lang IS NOT NULL GROUP BY lang")
+def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(*map(F.lit, (".py", ".go", ".rb", ".unknown"))), (F.col("event_id") % 4 + 1).cast("int"))
+    files = table(spark, sf_dir, "events").select(detect(F.concat(F.lit("a/b"), ext)).alias("lang"))
+    return ops.count_by(files.filter("lang is not null"), "lang", "files")
 
 
 @query("SELECT l_orderkey AS file_id, l_linenumber AS pre, (SELECT max(s.l_linenumber) FROM lineitem s WHERE s.l_quantity > 30 AND s.l_orderkey = m.l_orderkey AND s.l_linenumber <= m.l_linenumber AND m.l_linenumber <= s.l_linenumber + 3) AS scope FROM lineitem m")

@@ -1,127 +1,84 @@
-"""HTML sources as a table of nodes, labelled by preorder ranks and byte positions."""
+"""HTML front end."""
 
 from __future__ import annotations
 
-import bisect
 import re
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from sylva.sources.syntax import N
 
-NODES = "file_id bigint, node_id int, parent_id int, kind string, is_named boolean, field string, child_ix int, named_ix int, depth int, pre int, subtree_end int, start_byte int, end_byte int, start_row int, start_col int, end_row int, end_col int, text string"
 _TOKEN = re.compile(rb"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(rb"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 _VOID = {b"area", b"base", b"br", b"col", b"embed", b"hr", b"img", b"input", b"link", b"meta", b"source", b"track", b"wbr"}
 _CLOSES = {b"p": {b"p"}, b"li": {b"li"}, b"td": {b"td", b"th"}, b"th": {b"td", b"th"}, b"tr": {b"tr", b"td", b"th"}, b"option": {b"option"}}
-_LEAVES = {"tag_name", "attribute", "attribute_name", "attribute_value", "text", "comment", "raw_text", "doctype"}
 
 
-class _Tree:
-    def __init__(self, size: int):
-        self.rows: list[list] = []
-        self.children: list[list[int]] = []
-        self.add(-1, "document", 0, size)
+class Html:
+    """Bytes that don't form markup are text; what isn't closed ends with its parent."""
 
-    def add(self, parent: int, kind: str, start: int, end: int, field: str | None = None) -> int:
-        me = len(self.rows)
-        kin = self.children[parent][0] if parent >= 0 else 0
-        depth = self.rows[parent][5] + 1 if parent >= 0 else 0
-        self.rows.append([parent, kind, field, start, end, depth, kin])
-        self.children.append([0])
-        if parent >= 0:
-            self.children[parent][0] += 1
-        return me
+    def __init__(self, src: str):
+        self.data = src.encode("latin-1")
 
+    def parse(self) -> N:
+        data = self.data
+        root = N("document", 0, len(data))
+        open_: list[tuple[N, bytes]] = [(root, b"")]
 
-def parse(source: str) -> list[tuple]:
-    """Rows of NODES but for file_id. Bytes that don't form markup are text; what isn't closed ends with its parent."""
-    data = source.encode()
-    tree, open_ = _Tree(len(data)), [(0, b"")]
+        def add(parent: N, kind: str, start: int, end: int) -> N:
+            n = N(kind, start, end)
+            parent.kids.append(n)
+            return n
 
-    def close(end: int) -> None:
-        tree.rows[open_.pop()[0]][4] = end
+        def close(end: int) -> None:
+            open_.pop()[0].end = end
 
-    at = 0
-    while at < len(data):
-        m = _TOKEN.match(data, at)
-        lo, hi = m.span()
-        raw, top = m.group(), open_[-1][0]
-        if raw.startswith(b"<!--"):
-            tree.add(top, "comment", lo, hi)
-        elif raw.startswith(b"<!"):
-            tree.add(top, "doctype", lo, hi)
-        elif m.group(2) is None:
-            if raw.strip():
-                tree.add(top, "text", lo, hi)
-        elif m.group(1):
-            name = m.group(2).lower()
-            if any(n == name for _, n in open_[1:]):
-                while open_[-1][1] != name:
-                    close(lo)
-                tag = tree.add(open_[-1][0], "end_tag", lo, hi)
-                tree.add(tag, "tag_name", m.start(2), m.end(2))
-                close(hi)
+        at = 0
+        while at < len(data):
+            m = _TOKEN.match(data, at)
+            lo, hi = m.span()
+            raw, top = m.group(), open_[-1][0]
+            if raw.startswith(b"<!--"):
+                add(top, "comment", lo, hi)
+            elif raw.startswith(b"<!"):
+                add(top, "doctype", lo, hi)
+            elif m.group(2) is None:
+                if raw.strip():
+                    add(top, "text", lo, hi)
+            elif m.group(1):
+                name = m.group(2).lower()
+                if any(n == name for _, n in open_[1:]):
+                    while open_[-1][1] != name:
+                        close(lo)
+                    tag = add(open_[-1][0], "end_tag", lo, hi)
+                    add(tag, "tag_name", m.start(2), m.end(2))
+                    close(hi)
+                else:
+                    add(top, "erroneous_end_tag", lo, hi)
             else:
-                tree.add(top, "erroneous_end_tag", lo, hi)
-        else:
-            name = m.group(2).lower()
-            while len(open_) > 1 and open_[-1][1] in _CLOSES.get(name, ()):
-                close(lo)
-            kind = {b"script": "script_element", b"style": "style_element"}.get(name, "element")
-            me = tree.add(open_[-1][0], kind, lo, hi)
-            alone = raw.endswith(b"/>")
-            tag = tree.add(me, "self_closing_tag" if alone else "start_tag", lo, hi)
-            tree.add(tag, "tag_name", m.start(2), m.end(2))
-            for a in _ATTRIBUTE.finditer(m.group(3)):
-                base = m.start(3)
-                attribute = tree.add(tag, "attribute", base + a.start(), base + a.end())
-                tree.add(attribute, "attribute_name", base + a.start(1), base + a.end(1))
-                if a.group(2) is not None:
-                    quoted = a.group(2)[:1] in b"\"'"
-                    value = tree.add(attribute, "quoted_attribute_value", base + a.start(2), base + a.end(2)) if quoted else attribute
-                    tree.add(value, "attribute_value", base + a.start(2) + quoted, base + a.end(2) - quoted)
-            if not alone and name not in _VOID:
-                open_.append((me, name))
-                if kind != "element":
-                    stop = re.compile(rb"</" + name, re.I).search(data, hi)
-                    end = stop.start() if stop else len(data)
-                    if end > hi:
-                        tree.add(me, "raw_text", hi, end)
-                    hi = end
-        at = hi
-    while len(open_) > 1:
-        close(len(data))
-    lines = [0, *(m.end() for m in re.finditer(rb"\n", data))]
-    last = list(range(len(tree.rows)))
-    for i in range(len(tree.rows) - 1, 0, -1):
-        p = tree.rows[i][0]
-        last[p] = max(last[p], last[i])
-    out = []
-    for i, (parent, kind, field, lo, hi, depth, ix) in enumerate(tree.rows):
-        r0, r1 = bisect.bisect_right(lines, lo) - 1, bisect.bisect_right(lines, hi) - 1
-        text = data[lo:hi].decode(errors="replace") if kind in _LEAVES else None
-        out.append((i, parent, kind, True, field, ix, ix, depth, i, last[i], lo, hi, r0, lo - lines[r0], r1, hi - lines[r1], text))
-    return out
-
-
-def nodes(files: DataFrame) -> DataFrame:
-    """source_files (file_id, source) -> nodes, in one pass and without a shuffle. A null source has no nodes.
-    text is null for nodes that hold others of any size, whose text is the source between their bytes."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in NODES.split(", ")]
-        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-        schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in NODES.split(", ")])
-        for b in batches:
-            rows: list[tuple] = []
-            for i, (file_id, source) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if source is not None:
-                    rows.extend((file_id, *r) for r in parse(source))
-                if rows and (len(rows) > 20_000 or i == b.num_rows - 1):
-                    yield pa.record_batch([pa.array(c, schema.field(n).type) for c, n in zip(zip(*rows, strict=True), names, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.record_batch([pa.array(c, schema.field(n).type) for c, n in zip(zip(*rows, strict=True), names, strict=True)], schema=schema)
-
-    return files.select("file_id", "source").mapInArrow(run, NODES)
+                name = m.group(2).lower()
+                while len(open_) > 1 and open_[-1][1] in _CLOSES.get(name, ()):
+                    close(lo)
+                kind = {b"script": "script_element", b"style": "style_element"}.get(name, "element")
+                me = add(open_[-1][0], kind, lo, hi)
+                alone = raw.endswith(b"/>")
+                tag = add(me, "self_closing_tag" if alone else "start_tag", lo, hi)
+                add(tag, "tag_name", m.start(2), m.end(2))
+                for a in _ATTRIBUTE.finditer(m.group(3)):
+                    base = m.start(3)
+                    attribute = add(tag, "attribute", base + a.start(), base + a.end())
+                    add(attribute, "attribute_name", base + a.start(1), base + a.end(1))
+                    if a.group(2) is not None:
+                        quoted = a.group(2)[:1] in b"\"'"
+                        value = add(attribute, "quoted_attribute_value", base + a.start(2), base + a.end(2)) if quoted else attribute
+                        add(value, "attribute_value", base + a.start(2) + quoted, base + a.end(2) - quoted)
+                if not alone and name not in _VOID:
+                    open_.append((me, name))
+                    if kind != "element":
+                        stop = re.compile(rb"</" + name, re.I).search(data, hi)
+                        end = stop.start() if stop else len(data)
+                        if end > hi:
+                            add(me, "raw_text", hi, end)
+                        hi = end
+            at = hi
+        while len(open_) > 1:
+            close(len(data))
+        return root

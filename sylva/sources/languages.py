@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +73,62 @@ def languages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, *v) for n, v in LANGUAGES.items()], "lang string, identifiers array<string>, extensions array<string>, comment string, grammar boolean")
 
 
-def not_ignored(path: Column) -> Column:
-    return ~F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(d) for d in IGNORED_DIRS)))
-
-
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """source_files of a directory tree; pruned by directory and extension before any content is decoded."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    raw = raw.withColumn("lang", detect(F.col("path"))).filter(not_ignored(F.col("path")) & F.col("lang").isNotNull())
-    return raw.select(F.xxhash64("path").alias("file_id"), "path", "lang", F.decode("content", F.lit("UTF-8")).alias("source"), F.col("length").alias("n_bytes"))
+_FILE = "path string, lang string, n_bytes bigint"
+
+
+def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(root))
+
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path, lang, n_bytes) of the files of known languages below root, paths relative to it, in order. Directories of an
+    ignored name aren't entered, symbolic links not followed, no content is read. Names that Spark's own file sources pass
+    over, as those that begin with _, are seen. The driver lists, as it does for those sources."""
+    system, base = _filesystem(root)
+    local = isinstance(system, fs.LocalFileSystem)
+    found, open_ = [], [base.rstrip("/")]
+    while open_:
+        for i in system.get_file_info(fs.FileSelector(open_.pop(), recursive=False)):
+            if local and os.path.islink(i.path):
+                continue
+            if i.type == fs.FileType.Directory:
+                if i.base_name not in IGNORED_DIRS:
+                    open_.append(i.path)
+            elif i.type == fs.FileType.File:
+                dot = i.base_name.rfind(".")
+                lang = _BY_EXTENSION.get(i.base_name[dot:]) if dot >= 0 else None
+                if lang:
+                    found.append((i.path[len(base.rstrip("/")) + 1 :], lang, i.size))
+    found.sort()
+    columns = [list(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+    return spark.createDataFrame(pa.table({"path": pa.array(columns[0], pa.string()), "lang": pa.array(columns[1], pa.string()), "n_bytes": pa.array(columns[2], pa.int64())}), _FILE)
+
+
+def read_tree(spark: SparkSession, root: str, kept: Column | None = None, part_bytes: int = 64 << 20) -> DataFrame:
+    """source_files (file_id, path, lang, source, n_bytes) below root: files whose path and lang pass `kept`, read by tasks of
+    about part_bytes each; no other file is opened. Sources that aren't UTF-8 have replaced characters; a file that is gone has
+    a null source."""
+    listed = list_tree(spark, root)
+    if kept is not None:
+        listed = listed.filter(kept)
+    size = listed.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(min(spark.sparkContext.defaultParallelism, size // (1 << 16) + 1), -(-size // part_bytes))
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _filesystem(root)
+        for b in batches:
+            held: list[str | None] = []
+            start = n = 0
+            for i, path in enumerate(b.column("path").to_pylist()):
+                try:
+                    with system.open_input_file(f"{base.rstrip('/')}/{path}") as f:
+                        held.append(f.read().decode(errors="replace"))
+                except FileNotFoundError:
+                    held.append(None)
+                n += len(held[-1] or "")
+                if n > 4 << 20 or i == b.num_rows - 1:
+                    yield b.slice(start, len(held)).append_column("source", pa.array(held, pa.string()))
+                    start, n, held = i + 1, 0, []
+
+    out = listed.repartition(parts).mapInArrow(read, f"{_FILE}, source string")
+    return out.select(F.xxhash64("path").alias("file_id"), "path", "lang", "source", "n_bytes")
