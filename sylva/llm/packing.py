@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from sylva.llm._shared import documents, only, stored, text_key
 
 CAPACITY, GROUPS, SMALL = 2048, 24, 8
-_BUCKETS, _FULL_BUCKETS = 16, 1024
+#: Pieces of one length, about, that a task ranks: a length of more is split by hash.
+_ROWS = 1 << 20
 
 
 def _best_pattern(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -156,19 +157,20 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Dat
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("words") - 1) / capacity)).cast("int")))
     d = d.select("doc_id", "t", "words", piece.alias("piece")).withColumn("start", F.col("piece") * capacity)
     d = d.withColumn("length", F.least(F.lit(capacity), F.col("words") - F.col("start")))
-    # whole bins are a length of their own that may be most pieces: more buckets
-    d = d.withColumn("bucket", F.when(F.col("length") == capacity, F.pmod(F.xxhash64("t", "piece"), F.lit(_FULL_BUCKETS))).otherwise(F.pmod(F.xxhash64("t"), F.lit(_BUCKETS))).cast("int"))
     d = stored(d.drop("words"), "pieces")
     some = d.filter("length > 0")
+    spark = d.sparkSession
+    split = [(r[0], -(-r[1] // _ROWS)) for r in some.groupBy("length").count().collect()]  # as many as capacity allows
+    split = F.broadcast(spark.createDataFrame(split, "length int, split long"))
+    some = some.withColumn("length", F.col("length").cast("int")).join(split, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "t", "piece"), "split").cast("int")).drop("split")
     counted = some.groupBy("length", "bucket").count().toArrow()
     size, bucket, n = (counted.column(c).to_numpy() for c in ("length", "bucket", "count"))
     order = np.lexsort((bucket, -size))
     size, bucket, n = size[order], bucket[order], n[order]
     lengths, at = np.unique(-size, return_index=True)
     rows, _ = plan(-lengths.astype(np.int64), np.add.reduceat(n, at) if len(n) else n, capacity, groups)
-    spark = d.sparkSession
     offsets = pa.table({"length": pa.array(size.astype(np.int32)), "bucket": pa.array(bucket.astype(np.int32)), "before": pa.array(np.cumsum(n) - n, pa.int64())})
-    offsets = F.broadcast(spark.createDataFrame(offsets, "length int, bucket int, before bigint"))  # as many as capacity and buckets allow
+    offsets = F.broadcast(spark.createDataFrame(offsets, "length int, bucket int, before bigint"))  # a row for each length and for each _ROWS pieces
     ranked = some.join(offsets, ["length", "bucket"]).withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "t", "piece")) - 1)
     shared = spark.sparkContext.broadcast(rows)
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sylva.llm import _shared, capture_index, components, decontamination, jaccard_join, line_dedup, packing, paragraphs, quality_rules, secrets, toxicity, url_filter
+from sylva.llm import _shared, _tokens, capture_index, components, decontamination, jaccard_join, line_dedup, packing, paragraphs, quality_rules, secrets, toxicity, url_filter
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [f"w{i}" for i in range(400)]
@@ -232,6 +233,29 @@ def test_rules_on_held_out_rows():
     assert (hit == low[2000:]).mean() > 0.95
 
 
+def test_judging_against_plain_python(spark):
+    rng = random.Random(31)
+    texts = [None, "", " \n ", "ONE", "a b c!! d?? 12 3\na b c\na b c", "é É " * 30] + [" ".join(rng.choice(["Abc", "x1", "!!", "d.", "\n", "ok"]) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    Rule = quality_rules.Rule
+    rules = [Rule([("shouts", ">", 0.1), ("words", ">", 20.0)]), Rule([("upper", ">", 0.1)]), Rule([("repeated_lines", ">", 0.3)]), Rule([("digits", ">", 0.05), ("stops", "<=", 0.2), ("word_length", "<=", 3.5)])]
+
+    def stats(t):
+        chars, words = max(1, len(t)), max(1, len(re.findall(r"\S+", t)))
+        lines = t.split("\n")
+        return {"words": words, "word_length": chars / words, "upper": sum(c.isupper() for c in t) / chars, "digits": len(re.findall("[0-9]", t)) / chars, "shouts": len(re.findall("[!?]{2,}", t)) / words, "stops": len(re.findall(r"[.!?](?:\s|$)", t)) / words, "repeated_lines": 1 - len(set(lines)) / len(lines)}
+
+    def rule(t):
+        if t is None or not t.strip():
+            return 0
+        x = stats(t)
+        return next((k for k, r in enumerate(rules, 1) if all((x[n] > cut) == (op == ">") for n, op, cut in r.conditions)), 0)
+
+    docs = make(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: (r.rule, r.keep) for r in quality_rules.judge(docs, rules).collect()}
+    assert got == {i: (rule(t), rule(t) == 0) for i, t in enumerate(texts)} and len({k for k, _ in got.values()}) >= 4
+    assert quality_rules.judge(docs.limit(0), rules).count() == 0
+
+
 def test_loser_tree_merges():
     rng = random.Random(4)
     for k in range(9):
@@ -261,6 +285,44 @@ def test_repeated_passages(spark):
     assert {r.doc_id for r in got} == {1, 2, 3} and all(r.doc_id not in r.kept_doc_ids and 0 in r.kept_doc_ids for r in got if r.doc_id != 3)
 
 
+def test_spans_against_all_pairs_of_paragraphs(spark):
+    rng = random.Random(41)
+    passages = [prose(rng, 120) for _ in range(6)]
+    texts = []
+    for i in range(30):
+        w = passages[i % 6].split()
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(f"{prose(rng, rng.randrange(20, 90))} {' '.join(w)} {prose(rng, rng.randrange(20, 90))}")
+    texts += [prose(rng, 200) for _ in range(6)] + [texts[0]]
+    L = paragraphs.LENGTH
+    cut = []  # every paragraph of every text, in order
+    for d, t in enumerate(texts):
+        tokens = _tokens.tokenize(pa.array([t]))
+        grams, _, offs = _tokens.ngrams(tokens, paragraphs.SHINGLE)
+        words = t.split()
+        for start in paragraphs.anchors(grams, offs, np.diff(tokens.offs)):
+            part = words[start : start + L]
+            cut.append((d, int(start), {tuple(part[k : k + paragraphs.SHINGLE]) for k in range(L - paragraphs.SHINGLE + 1)}))
+    root = list(range(len(cut)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(cut)), 2):
+        a, b = cut[i], cut[j]
+        if len(a[2] & b[2]) / len(a[2] | b[2]) >= paragraphs.THRESHOLD:
+            x, y = top(i), top(j)
+            root[max(x, y)] = min(x, y)
+    want = {(d, w) for i, (d, start, _) in enumerate(cut) if top(i) != i and (cut[top(i)][0] != d or abs(cut[top(i)][1] - start) >= L) for w in range(start, start + L)}
+    got = {(r.doc_id, w) for r in paragraphs.repeats(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect() for w in range(r.start, r.end)}
+    # bands miss some pairs, and don't look at paragraphs that only overlap each other
+    assert len(got - want) <= 0.03 * len(want) and len(want - got) <= 0.05 * len(want) and want
+    assert not any(30 <= d < 36 for d, _ in got)
+
+
 def test_repeated_passage_is_one_span(spark):
     rng = random.Random(12)
     passages = [prose(rng, 400) for _ in range(4)]
@@ -325,6 +387,56 @@ def test_packing_fits(spark):
     assert out.bin_id.nunique() <= 1.1 * np.ceil(out.length.sum() / 1000) + 2
 
 
+def least_bins(lengths, capacity):
+    """The optimum, by search."""
+    best = [len(lengths)]
+    order = sorted(lengths, reverse=True)
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(order):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + order[i] <= capacity and bins[k] not in bins[:k]:
+                place(i + 1, [*bins[:k], bins[k] + order[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, order[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plans_against_the_optimum():
+    rng = random.Random(51)
+    extra = 0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 41) for _ in range(rng.randrange(1, 12))), reverse=True)
+        distinct = sorted(set(lengths), reverse=True)
+        counts = [lengths.count(x) for x in distinct]
+        rows, bins = packing.plan(np.array(distinct), np.array(counts), 40, 6)
+        held = np.zeros(bins, int)
+        ranked = np.repeat(distinct, counts)
+        for n, (r0, r1, b0, q) in enumerate(rows):
+            assert r0 == (rows[n - 1][1] if n else 0)
+            for r in range(r0, r1):
+                held[b0 + (r - r0) // q] += ranked[r]
+        assert rows[-1][1] == len(lengths) and held.max() <= 40 and held.min() > 0
+        best = least_bins(lengths, 40)
+        assert best <= bins <= best + 2
+        extra += bins - best
+    assert extra <= 20
+
+
+def test_packing_is_whole_with_ties_and_repeats(spark):
+    rows = [(i % 3, f"{'w ' * (i % 5)}", "s") for i in range(40)] + [(None, "a b c", "s"), (7, None, "s"), (8, "x " * 95, "s")]
+    out = packing.pack(make(spark, rows), capacity=10, groups=4).toPandas()
+    placed = out[out.bin_id.notna()]
+    assert placed.groupby("bin_id").length.sum().max() <= 10 and placed.length.sum() == sum(len((t or "").split()) for _, t, _ in rows)
+    assert all((b["at"].values == np.concatenate([[0], np.cumsum(b.length.values)[:-1]])).all() for _, b in placed.sort_values(["bin_id", "at"]).groupby("bin_id"))
+    assert sorted(out[out.doc_id == 8]["start"]) == list(range(0, 95, 10)) and len(out[out.length == 0]) == 9
+
+
 def test_secrets_need_their_parts(spark):
     rows = [(1, "token = abcdef123456 at 10.0.0.1", "s"), (2, "token = abcdef123456", "s"), (3, "token = abcdef123456\n\nat 10.0.0.1", "s"), (4, "ghp_" + "a1" * 18, "s"), (5, "10.0.0.1 " + "x" * 500 + " password: hunter2hunter2", "s"), (1, "token = abcdef123456 at 10.0.0.1", "s")]
     got = {(r.doc_id, r.strength, r.endpoints) for r in secrets.link(make(spark, rows)).collect()}
@@ -359,3 +471,71 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i for i, _, _ in rows} - {20, 22} - {30 + i for i in range(0, 200, 5)}
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    rng = random.Random(61)
+    notice = "the same notice stands below every text of these sites"
+    base = [prose(rng, 90) for _ in range(40)]
+    items = [(i, prose(rng, n)) for i, n in enumerate([30, 70])]
+    rows = [(i, t + (f"\n{notice}" if i % 2 else ""), f"s{i % 11}") for i, t in enumerate(base)]
+    for i in range(10):
+        w = base[i].split()
+        w[40] = "changed"
+        rows.append((50 + i, " ".join(w), "t"))
+    rows += [(60, rows[3][1], "u"), (60, rows[3][1], "u"), (61, f"{prose(rng, 50)} {items[0][1]} {prose(rng, 20)}", "a"), (62, f"{items[1][1]} {prose(rng, 30)}", "b"), (63, None, "c"), (64, "", None), (None, prose(rng, 30), "d")]
+    rows += [(100 + i, f"{prose(rng, 40)}{' vile slur scum filth' if i % 4 == 0 else ''}", "c") for i in range(200)]
+    labels = [(100 + i, 1, int(i % 4 == 0)) for i in range(180)] + [(100, None, None), (100, 1, 1)]
+    docs = make(spark, rows).withColumn("extra", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([*items, (9, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    m = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    at = {t: i for i, t in enumerate(m.ids.tolist())}
+
+    def toxic(t):
+        found = [at[x] for x in toxicity.terms_of(pa.array([t]))[0].tolist() if x in at]
+        known = any(m.ids[i] < toxicity._TOP for i in found)
+        return known and m.bias + sum(m.linear[i] for i in found) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(found, 2)) > m.threshold
+
+    kept = [(d, t, s) for d, t, s in rows if not toxic(t)]
+    sites = {}
+    for _, t, s in kept:
+        for x in {x.strip() for x in (t or "").split("\n")} - {""}:
+            sites.setdefault(x, set()).add(s)
+    wide = {x for x, s in sites.items() if len(s - {None}) >= line_dedup.MIN_SITES}
+    assert notice in wide
+    kept = [(d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip() != notice), s) for d, t, s in kept]
+    grams = [{tuple((t or "").split()[k : k + 3]) for k in range(max(1, len((t or "").split()) - 2))} for _, t, _ in kept]
+    root = list(range(len(kept)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(kept)), 2):
+        if (kept[i][1] or "").split() and (kept[j][1] or "").split() and len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.5:
+            x, y = top(i), top(j)
+            root[max(x, y)] = min(x, y)
+    least = {}
+    for i, (d, _, _) in enumerate(kept):
+        least[top(i)] = min(least.get(top(i), (True, 0)), (d is None, d or 0))
+    one = {}
+    for i, (d, t, _) in enumerate(kept):
+        if (d is None, d or 0) == least[top(i)]:
+            one[top(i)] = (d, t)
+    clean = [(d, t) for d, t in one.values() if not any(lcs(x.split(), (t or "").split()) >= 0.75 * len(x.split()) for _, x in items)]
+    want = {d: len((t or "").split()) for d, t in clean}
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    got = out.assign(doc_id=out.doc_id.astype("object").where(out.doc_id.notna(), None)).groupby("doc_id", dropna=False).length.sum()
+    assert {None if k is None or k != k else int(k): v for k, v in got.items()} == want
+    assert out[out.bin_id.notna()].groupby("bin_id").length.sum().max() <= packing.CAPACITY
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    make(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
