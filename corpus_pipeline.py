@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage's result is written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: each stage's result is written as Parquet and reread as the next one's documents.
+
+Rows whose text is null, empty or without a word are kept by all stages and come out as pieces of length 0 without a
+bin. Of rows that repeat, or that are near copies, the row of least doc_id stays, a null doc_id being the greatest;
+ties go by the row's hash. Texts are taken whole, however long. Of columns other than those of documents none comes
+out. Empty tables give no rows; without labels of both kinds nothing is toxic.
+"""
 
 from __future__ import annotations
 
@@ -34,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", reject_toxic), ("line_dedup", clean_lines), ("ngram_jaccard_join", keep_one), ("benchmark_decontamination", drop_leaks), ("best_fit_packing", pack)]
-#: Learned weights and latent directions are beyond SQL; tests/llm hold the run against a brute-force version.
+#: Learned weights and latent directions are beyond SQL; tests/llm/test_ops.py holds the run against a plain Python version.
 ORACLE_SQL = None
 
 
