@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sylva.sources import html
+from sylva.sources import generic, html
 from sylva.sources.golang import Go
 from sylva.sources.java import Java
 from sylva.sources.javascript import JavaScript
@@ -28,6 +29,7 @@ PARSERS: dict[str, Callable[[str], object]] = {
     "rust": Rust,
     "dockerfile": Dockerfile,
     "html": html.Html,
+    **{x: partial(generic.Generic, x) for x in generic.LANGUAGES},
 }
 NODES = "file_id bigint, lang string, node_id int, parent_id int, kind string, is_named boolean, field string, child_ix int, named_ix int, n_named int, depth int, pre int, subtree_end int, start_byte int, end_byte int, start_row int, start_col int, end_row int, end_col int, text string"
 #: Bytes up to which a node's text is in the table; that of a longer inner node is the source between its bytes.

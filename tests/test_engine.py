@@ -87,7 +87,7 @@ def test_any_text_is_read(lang):
         assert f.nodes[0].end == len(f.src)
     for source in ("", "\n", "(" * 3000, "a " * 20000):
         parsed(lang, source)
-    assert frontends.tree(lang, None) is None and frontends.tree("sql", "x") is None
+    assert frontends.tree(lang, None) is None and frontends.tree("markdown", "x") is None
 
 
 @pytest.mark.parametrize(
@@ -108,6 +108,15 @@ def test_trees(lang, source, tree):
     assert repr(parsed(lang, source).nodes[0]) == tree
 
 
+def test_other_languages_have_words_and_brackets(spark):
+    f = parsed("kotlin", 'fun f(x: Int) { g("a // b") } // skipcq: c\n/* d */ h[1]')
+    assert [f.text(n) for n in f.by_kind["comment"]] == ["// skipcq: c", "/* d */"] and [f.text(n) for n in f.by_kind["string"]] == ['"a // b"']
+    assert captured(f, '(block (identifier) @x . (parenthesized (string)))') == ["g"] and captured(f, "(list (number) @x)") == ["1"]
+    assert [n.kind for n in parsed("bash", "echo ${#a} # b\n)").nodes if n.kind in ("comment", "ERROR")] == ["comment", "ERROR"]
+    c = load("{language: sql, name: s, message: 'no @w', pattern: '((identifier) @w (#match? @w \"^(?i)drop$\")) @s'}".replace("^(?i)", "(?i)^"))
+    assert [(r.row, r.message) for r in check(files_of(spark, ("sql", "-- drop\nselect 1;\nDROP table x")), [c]).collect()] == [(2, "no DROP")]
+
+
 def test_errors_are_local():
     f = parsed("python", "x = (\ny = 1\n")
     assert f.by_kind["ERROR"]
@@ -116,7 +125,7 @@ def test_errors_are_local():
 
 
 def test_node_table(spark):
-    df = frontends.nodes(spark.createDataFrame([(1, "html", PAGE), (2, "html", None), (3, "sql", "x"), (4, "html", "")], "file_id bigint, lang string, source string"))
+    df = frontends.nodes(spark.createDataFrame([(1, "html", PAGE), (2, "html", None), (3, "markdown", "x"), (4, "html", "")], "file_id bigint, lang string, source string"))
     got = df.collect()
     assert {r.file_id for r in got} == {1, 4}
     own = [r for r in got if r.file_id == 1]
@@ -172,7 +181,7 @@ def test_bad_patterns(bad):
 
 
 def test_pattern_table(spark):
-    files = files_of(spark, ("python", "f(a)\ng(b)\n"), ("python", None), ("sql", "f(a)"))
+    files = files_of(spark, ("python", "f(a)\ng(b)\n"), ("python", None), ("yaml", "f(a)"))
     got = tables.matches(files, "(call function: (identifier) @f arguments: (argument_list (identifier) @x)) @call", "x").collect()
     assert [(r.file_id, r.row, r.text, r.captures) for r in got] == [(0, 0, "a", ["call", "f(a)", "f", "f", "x", "a"]), (0, 1, "b", ["call", "g(b)", "f", "g", "x", "b"])]
     with pytest.raises(PatternSyntaxError):
