@@ -34,7 +34,7 @@ _SHINGLES = LENGTH - SHINGLE + 1
 _FEW = 12
 
 
-def tune(threshold: float, recall: float, most: int = 4) -> tuple[int, int]:
+def tune(threshold: float, recall: float, most: int = 8) -> tuple[int, int]:
     """(bands, rows): the most selective banding, within `most` bands, that finds pairs at the threshold with the recall."""
     for rows in range(8, 0, -1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
