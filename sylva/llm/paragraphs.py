@@ -184,9 +184,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     names = [f"k{k}" for k in range(BANDS)]
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cut = d.mapInArrow(_cut, "doc_id bigint, start int, ph bigint, " + ", ".join(f"{n} bigint" for n in names))
-    at = F.struct("doc_id", "start")
-    each = cut.groupBy("ph").agg(F.min(at).alias("first"), F.max(at).alias("last"), *(F.first(n).alias(n) for n in names))
-    each = stored(each.select("ph", "first", (F.col("first") < F.col("last")).alias("again"), *names), "paragraphs")
+    # the keys of a hash are all the same, and min has one slot in a partial sum where first has two
+    each = cut.groupBy("ph").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(n).alias(n) for n in names))
+    each = stored(each.select("ph", "first", (F.col("n") > 1).alias("again"), *names), "paragraphs")
 
     group = Window.partitionBy("key")
     keyed = each.select("ph", "first.doc_id", "first.start", F.explode(F.array(*names)).alias("key"))
