@@ -460,7 +460,7 @@ def no_double_eq(f: File) -> Issues:
 @checker("unused-import", "javascript", "info", "antipattern")
 def unused_import(f: File) -> Issues:
     """imports that nothing refers to"""
-    for _, v in Scopes(f).all():
+    for _, v in f.ask(Scopes).all():
         if v.kind == IMPORT and not v.refs:
             yield v.decl, f'unused import "{v.name}"'
 
@@ -468,7 +468,7 @@ def unused_import(f: File) -> Issues:
 @checker("no_exec", "javascript", "critical")
 def no_exec(f: File) -> Issues:
     """calls of functions that hand something to a sink"""
-    flow = DataFlow(f)
+    flow = f.ask(DataFlow)
 
     def sinks(n: N) -> bool:
         for x in n.walk():
@@ -489,7 +489,7 @@ def no_exec(f: File) -> Issues:
 @checker("sha1_detector", "javascript", "warning")
 def sha1_detector(f: File) -> Issues:
     """SHA-1 of a hash library"""
-    scopes, found = Scopes(f), []
+    scopes, found = f.ask(Scopes), []
     for n in f.nodes:
         own = None
         if n.kind == "variable_declarator":

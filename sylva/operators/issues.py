@@ -77,6 +77,18 @@ def report(issues: DataFrame, form: str = "text") -> DataFrame:
     return issues.select(line.alias("line"))
 
 
+def in_order(issues: DataFrame) -> DataFrame:
+    """By path, place and checker; a check by itself keeps no order between files."""
+    return issues.orderBy("path", "row", "col", "end_row", "end_col", "id", "message")
+
+
+def first_of_each(issues: DataFrame, *keys: str) -> DataFrame:
+    """Of the issues of each key, a path or a path and a checker, the first by place."""
+    rest = [c for c in issues.columns if c not in keys]
+    least = issues.groupBy(*keys).agg(F.min(F.struct("row", "col", *(c for c in rest if c not in ("row", "col")))).alias("__f"))
+    return least.select(*(F.col(c) if c in keys else F.col(f"__f.{c}") for c in issues.columns))
+
+
 def count_by_checker(checkers: DataFrame, issues: DataFrame) -> DataFrame:
     n = issues.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return checkers.select("id").distinct().join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("issues"))

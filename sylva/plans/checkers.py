@@ -49,6 +49,7 @@ class Checker:
     exclude: list[str] = field(default_factory=list)
     run: Callable[[File], Iterator[tuple[N, str]]] | None = None
     origin: str = "custom"
+    requires: list[Checker] = field(default_factory=list)
 
     def wants(self, path: str) -> bool:
         if self.include and not _any_glob(tuple(self.include)).match(path):
@@ -71,6 +72,11 @@ class Checker:
                         yield n, message
 
 
+def closure(checkers: list[Checker]) -> list[Checker]:
+    """Checkers, each after what it requires; one that several require is there as often."""
+    return [x for c in checkers for x in (*closure(c.requires), c)]
+
+
 _WITHIN = "__filter__key__"
 
 
@@ -142,7 +148,7 @@ def check(files: DataFrame, checkers: list[Checker], keep_skipped: bool = False)
     """Issues of files (file_id, path, lang, source), by every checker of their language. Rows count from 0. Null sources,
     languages without a front end or a checker, and an empty table have none; a file that repeats is reported each time."""
     by_lang: dict[str, list[Checker]] = {}
-    for c in checkers:
+    for c in closure(checkers):
         by_lang.setdefault(c.lang, []).append(c)
     langs = [x for x in by_lang if x in PARSERS]
     shared = files.sparkSession.sparkContext.broadcast(by_lang)  # as large as the rules, not the data

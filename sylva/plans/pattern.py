@@ -171,6 +171,13 @@ class File:
         self.by_kind: dict[str, list[N]] = defaultdict(list)
         for n in self.nodes:
             self.by_kind[n.kind].append(n)
+        self._asked: dict = {}
+
+    def ask(self, make):
+        """make(file), made once for all checkers that ask for it."""
+        if make not in self._asked:
+            self._asked[make] = make(self)
+        return self._asked[make]
 
     def text(self, n: N) -> str:
         return text_of(self.src, n.start, n.end)

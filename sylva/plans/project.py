@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import json
 import re
 import subprocess
 from collections.abc import Sequence
@@ -130,6 +129,10 @@ class Result:
     def exit_status(self) -> int:
         return ops.exit_status(self.issues, self.config.severities, self.config.categories, self.config.exit_code).first()[0]
 
+    def write(self, path: str, form: str = "text") -> None:
+        """The report, in order, an issue a line, in files below path."""
+        ops.report(ops.in_order(self.issues), form).write.text(path)
+
     def summary(self) -> str:
         n = self.count_files()
         return f"Analyzed {n} files and found {self.issues.count()} issues." if n else "No files to analyze"
@@ -219,5 +222,26 @@ def test_dir(folder: str | Path) -> list[Tested]:
     return out
 
 
-def issue_json(row: dict) -> str:
-    return json.dumps(row, separators=(",", ":"))
+def is_test_of(path: str, checkers: Sequence[Checker]) -> bool:
+    """Whether a file is named as the test of one of the checkers."""
+    return any(path.endswith(test_path(c.id, c.lang)) for c in checkers)
+
+
+def test_written(folder: str | Path, checkers: Sequence[Checker]) -> dict[tuple[str, int], tuple[list[str], list[str]]]:
+    """(file, line) -> expected and raised messages, sorted, where they differ: all checkers on the test files of any of them.
+    A raised message is "id: message"; an expected one that is empty stands for any."""
+    out = {}
+    for p in sorted(Path(folder).rglob("*")):
+        if not (p.is_file() and is_test_of(p.name, checkers)):
+            continue
+        lang = next(c.lang for c in checkers if is_test_of(p.name, [c]))
+        f = File(*tree(lang, p.read_bytes()))
+        want = expected_messages(f, lang)
+        got: dict[int, list[str]] = {}
+        for row, _, _, _, id_, message, *_ in issues_of(f, [c for c in checkers if c.lang == lang], str(p)):
+            got.setdefault(row + 1, []).append(f"{id_}: {message}")
+        for line in sorted({*want, *got}):
+            a, b = sorted(want.get(line, [])), sorted(got.get(line, []))
+            if len(a) != len(b) or any(x not in ("", y) for x, y in zip(a, b, strict=True)):
+                out[p.name, line] = a, b
+    return out

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from sylva.plans.pattern import File, all_by_field, by_field, first_of_kind, named, of_kind
 from sylva.sources.syntax import N
 
-_SCOPES = {"statement_block", "function_declaration", "function_expression", "for_statement", "for_in_statement", "for_of_statement", "program", "arrow_function", "class_body", "method_definition"}
 IMPORT, FUNCTION, VARIABLE, PARAMETER, CLASS = "import", "function", "variable", "parameter", "class"
 
 
@@ -38,7 +37,12 @@ class Scope:
 
 
 class Scopes:
-    """The scope tree of a file: names are resolved as they are met, and what was unknown then at the end."""
+    """The scope tree of a file: names are resolved as they are met, and what was unknown then at the end. For another
+    language, a subclass says which kinds make scopes (SCOPES), what a node declares and which identifiers refer."""
+
+    SCOPES = frozenset(["statement_block", "function_declaration", "function_expression", "for_statement", "for_in_statement", "for_of_statement", "program", "arrow_function", "class_body", "method_definition"])
+    #: The kind at whose end what is unresolved is looked up again.
+    WHOLE = "program"
 
     def __init__(self, f: File):
         self.f, self.root, self.of_pre, self.open = f, Scope(node=f.nodes[0]), {}, []
@@ -52,7 +56,7 @@ class Scopes:
             for v in self.declared(n):
                 scope.variables[v.name] = v
             inner = scope
-            if n.kind in _SCOPES:
+            if n.kind in self.SCOPES:
                 inner = self.of_pre[n.pre] = Scope(scope, n)
                 scope.children.append(inner)
             stack.append((n, scope, True))
@@ -123,7 +127,7 @@ class Scopes:
                 v.refs.append(n)
 
     def leave(self, n: N, scope: Scope) -> None:
-        if n.kind == "program":
+        if n.kind == self.WHOLE:
             for ref, at in self.open:
                 v = at.lookup(self.f.text(ref))
                 if v is not None:
@@ -170,7 +174,7 @@ class DataFlow:
     """What values of variables are made of: identifiers, arguments of calls, terms of sums, parts of templates."""
 
     def __init__(self, f: File, scopes: Scopes | None = None):
-        self.f, self.scopes = f, scopes or Scopes(f)
+        self.f, self.scopes = f, scopes or f.ask(Scopes)
         self.graph: dict[Variable, Flow] = {}
         self.functions: dict[str, Function] = {}
         self.classes: dict[Variable, tuple[list[Function], list[Variable]]] = {}

@@ -38,7 +38,7 @@ def variables(files: DataFrame) -> DataFrame:
 
     def own(f: File) -> Iterator[tuple]:
         lines = Lines(f.src)
-        for scope, v in Scopes(f).all():
+        for scope, v in f.ask(Scopes).all():
             yield scope.node.pre, v.name, v.kind, lines.at(v.decl.start)[0], len(v.refs), v.exported
 
     return per_file(files, "scope int, name string, kind string, row int, refs int, exported boolean", own)
@@ -48,7 +48,7 @@ def flows(files: DataFrame) -> DataFrame:
     """(file_id, name, source): the variables that a variable's last value is made of directly."""
 
     def own(f: File) -> Iterator[tuple]:
-        for v, flow in DataFlow(f).graph.items():
+        for v, flow in f.ask(DataFlow).graph.items():
             for s in flow.sources:
                 yield v.name, s.variable.name
 
@@ -60,7 +60,7 @@ def functions(files: DataFrame) -> DataFrame:
 
     def own(f: File) -> Iterator[tuple]:
         lines = Lines(f.src)
-        for name, fn in DataFlow(f).functions.items():
+        for name, fn in f.ask(DataFlow).functions.items():
             yield name, lines.at(fn.node.start)[0]
 
     return per_file(files, "name string, row int", own)

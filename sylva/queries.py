@@ -305,6 +305,19 @@ def issues_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.from_json(ops.report(_row_issues(spark, sf_dir), "json")).select("path", "row", "id", "message")
 
 
+@query("SELECT 'f' || l_orderkey AS path, min(l_linenumber)::INT AS row, arg_min(l_returnflag, l_linenumber) AS id FROM lineitem GROUP BY l_orderkey")
+def first_issue_of_each_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.first_of_each(_row_issues(spark, sf_dir), "path").select("path", F.col("row").cast("int").alias("row"), "id")
+
+
+@query("SELECT event_id AS file_id, v.lang, v.files::BIGINT AS nodes FROM events JOIN (VALUES (0, 'python', 5), (1, 'go', 4), (2, 'ruby', 4)) v(k, lang, files) ON event_id % 4 = k")
+def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of one small source in three languages; a fourth has none."""
+    pick = lambda *x: F.element_at(F.array(*(F.lit(v) for v in x)), (F.col("event_id") % 4 + 1).cast("int"))
+    files = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), pick("python", "go", "ruby", "markdown").alias("lang"), pick("pass  # a\nx\n", "package a\n// b\n", "a # b\n\"\"\n", "x").alias("source"))
+    return frontends.nodes(files).groupBy("file_id", "lang").agg(F.count(F.lit(1)).alias("nodes"))
+
+
 @query("SELECT lang, count(*) AS files FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'go' WHEN 2 THEN 'ruby' END AS lang FROM events) WHERE lang IS NOT NULL GROUP BY lang")
 def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(F.array(*map(F.lit, (".py", ".go", ".rb", ".unknown"))), (F.col("event_id") % 4 + 1).cast("int"))

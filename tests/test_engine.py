@@ -12,9 +12,9 @@ from sylva.checkers.examples import EXAMPLES
 from sylva.functions.text import glob_regex
 from sylva.operators import issues as ops
 from sylva.plans import project, tables
-from sylva.plans.checkers import check, issues_of, load, valid
+from sylva.plans.checkers import Checker, check, closure, issues_of, load, valid
 from sylva.plans.pattern import File, PatternSyntaxError, all_by_field, ancestors, by_field, descendants, first_of_kind, first_where, named, nth_named, of_kind, parse, previous, visit
-from sylva.plans.scopes import DataFlow, Scopes
+from sylva.plans.scopes import DataFlow, Scopes, Variable
 from sylva.sources import frontends
 from sylva.sources.languages import list_tree, read_tree
 from sylva.sources.syntax import rows
@@ -316,6 +316,59 @@ def test_expectations_of_written_checkers():
     assert project.expected_messages(parsed("javascript", "// <expect-error> x\nf()\n"), "javascript") == {2: ["x"]}
 
 
+def test_tests_of_written_checkers(tmp_path):
+    some = [c for c in builtin() if c.id in ("no-double-eq", "unused-import")]
+    (tmp_path / "no-double-eq.test.js").write_text("// <expect-error>\na == b\nc == d // <expect-error> no-double-eq: Do not use '==' for comparison. Prefer '===' instead.\n")
+    (tmp_path / "other.js").write_text("a == b\n")
+    assert project.test_written(tmp_path, some) == {}
+    (tmp_path / "unused-import.test.js").write_text("import a from 'b'\n// <expect-error> unused-import: other\nimport c from 'd'\n// <expect-error>\nf()\n")
+    assert project.test_written(tmp_path, some) == {("unused-import.test.js", 1): ([], ['unused-import: unused import "a"']), ("unused-import.test.js", 3): (["unused-import: other"], ['unused-import: unused import "c"']), ("unused-import.test.js", 5): ([""], [])}
+
+
+def test_prerequisites_and_shared_results():
+    a = [c for c in builtin() if c.id == "no-double-eq"][0]
+    b = Checker("b", "javascript", requires=[a], run=lambda f: iter(()))
+    c = Checker("c", "javascript", requires=[b, a], run=lambda f: iter(()))
+    assert [x.id for x in closure([c])] == ["no-double-eq", "b", "no-double-eq", "c"]
+    f = parsed("javascript", "let a = 1\n")
+    assert f.ask(Scopes) is f.ask(Scopes) and f.ask(DataFlow).scopes is f.ask(Scopes)
+
+
+def test_scopes_of_another_language():
+    class PythonScopes(Scopes):
+        SCOPES, WHOLE = frozenset(["module", "function_definition"]), "module"
+
+        def declared(self, n):
+            if n.kind == "function_definition":
+                yield Variable("function", self.f.text(by_field(n, "name")), n)
+            elif n.kind == "assignment" and by_field(n, "left").kind == "identifier":
+                yield Variable("variable", self.f.text(by_field(n, "left")), n)
+
+        def refers(self, n):
+            return n.kind == "identifier" and n.field not in ("left", "name", "attribute")
+
+    s = PythonScopes(parsed("python", "def f():\n    x = y\n    return x\ny = 1\nf()\n"))
+    assert {v.name: len(v.refs) for _, v in s.all()} == {"f": 1, "x": 1, "y": 1}
+
+
+def test_reports_in_order_and_first_issues(spark, root, tmp_path):
+    r = project.check_project(spark, str(root), ignore=[".checkers/**"])
+    r.write(str(tmp_path / "out"), "text")
+    lines = [x.value for x in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 4 and sorted(lines)[0].startswith("a.py:1:0:no eval")
+    assert [x.path for x in ops.in_order(r.issues).collect()] == ["a.py", "a.py", "f.go", "src/b.py"]
+    assert sorted((x.path, x.row) for x in ops.first_of_each(r.issues, "path").collect()) == [("a.py", 0), ("f.go", 1), ("src/b.py", 0)]
+
+
+def test_language_columns(spark):
+    from sylva.sources import languages as lang
+
+    df = spark.createDataFrame([("PY", "a/b.py"), ("docker", "x.Dockerfile"), ("none", "Makefile")], "i string, p string")
+    rows = df.select(lang.decode(F.col("i")).alias("l"), lang.detect(F.col("p")).alias("d")).collect()
+    assert [(r.l, r.d) for r in rows] == [("python", "python"), ("dockerfile", "dockerfile"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([("python",), ("dockerfile",), ("markdown",)], "l string").select(lang.test_extension(F.col("l"))).collect()] == [".py", ".Dockerfile", None]
+
+
 def git(root, *args):
     subprocess.run(["git", "-C", str(root), "-c", "user.name=a", "-c", "user.email=a@b", *args], check=True, capture_output=True)
 
