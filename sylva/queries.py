@@ -305,7 +305,7 @@ def issues_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.from_json(ops.report(_row_issues(spark, sf_dir), "json")).select("path", "row", "id", "message")
 
 
-@query("SELECT 'f' || l_orderkey AS path, min(l_linenumber)::INT AS row, arg_min(l_returnflag, l_linenumber) AS id FROM lineitem GROUP BY l_orderkey")
+@query("SELECT 'f' || l_orderkey AS path, min(l_linenumber)::INT AS row, arg_min(l_returnflag, (l_linenumber, l_returnflag, l_linestatus)) AS id FROM lineitem GROUP BY l_orderkey")
 def first_issue_of_each_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.first_of_each(_row_issues(spark, sf_dir), "path").select("path", F.col("row").cast("int").alias("row"), "id")
 
