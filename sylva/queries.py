@@ -45,8 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores: the tables of the queries are single small files, and sources are parsed where their rows are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_id"), F.col("url").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("source")).repartition(spark.sparkContext.defaultParallelism)  # the test table is one small file
+    return spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("file_id"), F.col("url").alias("path"), F.lit("html").alias("lang"), F.col("html").alias("source"))
 
 
 _VARIANTS = [(k, i, lang, source, rows) for k, (i, lang, source, rows) in enumerate((i, lang, s, r) for i, (lang, bad, rows, good) in sorted(EXAMPLES.items()) for s, r in ((bad, rows), (good, [])))]
@@ -56,8 +61,8 @@ _EXPECTED = "(VALUES " + ", ".join(f"({k}, '{i}', {r})" for k, i, _, _, rows in
 def example_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file for each event: the examples of all checkers by turns, in all languages."""
     variants = spark.createDataFrame([(k, i, lang, "." + LANGUAGES[lang][1][0].lstrip("."), source) for k, i, lang, source, _ in _VARIANTS], "variant int, of string, lang string, ext string, source string")
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), (F.col("event_id") % len(_VARIANTS)).cast("int").alias("variant"))
-    return e.join(F.broadcast(variants), "variant").repartition(spark.sparkContext.defaultParallelism).withColumn("path", F.concat(F.lit("src/f"), F.col("file_id"), F.col("ext")))  # two rows a checker
+    e = spread(table(spark, sf_dir, "events").select("event_id")).select(F.col("event_id").alias("file_id"), (F.col("event_id") % len(_VARIANTS)).cast("int").alias("variant"))
+    return e.join(F.broadcast(variants), "variant").withColumn("path", F.concat(F.lit("src/f"), F.col("file_id"), F.col("ext")))  # two rows a checker
 
 
 @query(f"SELECT event_id AS file_id, v.id, v.row::INT AS row, 'src/f' || event_id AS stem FROM events JOIN {_EXPECTED} ON event_id % {len(_VARIANTS)} = variant")
@@ -145,7 +150,7 @@ def changed_files_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 def comment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Python files: each line a comment."""
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("# "), x))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.lit("python").alias("lang"), F.array_join(lines, "\n").alias("source"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("file_id"), F.lit("python").alias("lang"), F.array_join(lines, "\n").alias("source"))
 
 
 _DOC_LINES = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
@@ -262,7 +267,7 @@ def unused_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scope_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each order: imports, declarations, a function with a parameter, an export."""
     source = F.concat(F.lit("let x = a"), F.col("o_custkey"), F.lit("\nimport { b as a"), F.col("o_custkey"), F.lit(" } from 'm'\nfunction f(p) { const { y } = p }\n"), F.when(F.col("o_orderstatus") == "F", "export { x }\n").otherwise(""))
-    files = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit("javascript").alias("lang"), source.alias("source"))
+    files = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("file_id"), F.lit("javascript").alias("lang"), source.alias("source"))
     return tables.variables(files).select("file_id", "name", "kind", "refs", "exported")
 
 
@@ -271,7 +276,7 @@ def data_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values made of identifiers, sums, arguments and templates."""
     last = F.when(F.col("o_orderstatus") == "F", "d").otherwise("a")
     source = F.concat(F.lit("let a = 1\nlet b = a\nlet c = a + 'x' + b\nlet d = f(c, 2)\nlet e = `p ${"), last, F.lit("}`\n"))
-    return tables.flows(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), F.lit("javascript").alias("lang"), source.alias("source")))
+    return tables.flows(spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("file_id"), F.lit("javascript").alias("lang"), source.alias("source")))
 
 
 @query("SELECT conv_id AS file_id, turn AS node_id, lag(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS previous FROM conversations")
@@ -302,7 +307,7 @@ def issue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'f' || l_orderkey AS path, l_linenumber AS row, l_returnflag AS id, l_linestatus AS message FROM lineitem")
 def issues_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.from_json(ops.report(_row_issues(spark, sf_dir), "json")).select("path", "row", "id", "message")
+    return ops.from_json(spread(ops.report(_row_issues(spark, sf_dir), "json"))).select("path", "row", "id", "message")
 
 
 @query("SELECT 'f' || l_orderkey AS path, min(l_linenumber)::INT AS row, arg_min(l_returnflag, (l_linenumber, l_returnflag, l_linestatus)) AS id FROM lineitem GROUP BY l_orderkey")
@@ -314,7 +319,7 @@ def first_issue_of_each_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of one small source in three languages; a fourth has none."""
     pick = lambda *x: F.element_at(F.array(*(F.lit(v) for v in x)), (F.col("event_id") % 4 + 1).cast("int"))
-    files = table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), pick("python", "go", "ruby", "markdown").alias("lang"), pick("pass  # a\nx\n", "package a\n// b\n", "a # b\n\"\"\n", "x").alias("source"))
+    files = spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("file_id"), pick("python", "go", "ruby", "markdown").alias("lang"), pick("pass  # a\nx\n", "package a\n// b\n", "a # b\n\"\"\n", "x").alias("source"))
     return frontends.nodes(files).groupBy("file_id", "lang").agg(F.count(F.lit(1)).alias("nodes"))
 
 
