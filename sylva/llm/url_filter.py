@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sylva.llm._shared import BROADCAST_BYTES, BROADCAST_ROWS, only
 from sylva.llm._urls import SQL_PARTS, parts
 
-#: The default list: (entry, verdict).
+#: The list of the query, which fits the given pages: (entry, verdict).
 RULES = [
     ("spam-farm.example.org", "block"),
     ("spam-farm.example.org/en/about", "allow"),
@@ -52,9 +52,10 @@ class Trie:
 
 
 def _entries(rules: DataFrame) -> DataFrame:
-    """(path, entry, verdict): one row for each path, of one listed both ways the block."""
+    """(path, entry, verdict): one row for each path, of one listed both ways the block. A scheme before an entry says nothing."""
     r = only(rules, "entry", "verdict").filter("trim(entry) <> '' and verdict in ('allow', 'block')")
-    r = r.select(parts(F.concat(F.lit("//"), F.trim("entry"))).alias("path"), F.trim("entry").alias("entry"), "verdict")
+    bare = F.regexp_replace(F.trim("entry"), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//", "")
+    r = r.select(parts(F.concat(F.lit("//"), bare)).alias("path"), F.trim("entry").alias("entry"), "verdict")
     # an entry without path ends with its host
     r = r.withColumn("path", F.when(F.element_at("path", -1) == "/", F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")))
     return r.groupBy("path").agg(F.max(F.struct("verdict", "entry")).alias("v")).select("path", "v.entry", "v.verdict")

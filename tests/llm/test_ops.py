@@ -454,9 +454,9 @@ def test_secrets_overlap_and_are_whole(spark):
 
 
 def test_longest_entry_decides_both_ways(spark):
-    pages = spark.createDataFrame([(1, "http://a.b.c/x/y"), (2, "http://b.c/x"), (3, "http://u@www.B.c:80/x?q"), (4, None), (5, "http://bb.c/"), (1, "http://a.b.c/x/y")], "page_id bigint, url string")
-    rules = spark.createDataFrame([("b.c", "block"), ("b.c/x", "allow"), ("a.b.c", "allow"), ("a.b.c/x/y", "allow"), ("a.b.c/x/y", "block")], "entry string, verdict string")
-    want = [(1, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "none"), (5, "none")]
+    pages = spark.createDataFrame([(1, "http://a.b.c/x/y"), (2, "http://b.c/x"), (3, "http://u@www.B.c:80/x?q"), (4, None), (5, "http://bb.c/"), (1, "http://a.b.c/x/y"), (6, "https://d.e/f/g")], "page_id bigint, url string")
+    rules = spark.createDataFrame([("b.c", "block"), ("b.c/x", "allow"), ("a.b.c", "allow"), ("a.b.c/x/y", "allow"), ("a.b.c/x/y", "block"), ("http://d.e", "allow"), ("//D.e:80/f", "block")], "entry string, verdict string")
+    want = [(1, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "none"), (5, "none"), (6, "block")]
     for most in (100, 0):
         assert sorted((r.page_id, r.verdict) for r in url_filter.judge(pages, rules, most).collect()) == want
 
