@@ -1,16 +1,13 @@
-"""N-gram Jaccard self-join of documents, indexed by R-trees over count vectors.
-
-Each document's word n-grams are hashed into GROUPS groups; the group counts are its
-point. The overlap of two documents is at most the sum of their coordinates' minima,
-and that of a document and a tree node at most the sum of minima with the node's upper
-corner, so whole subtrees are discarded before any n-gram is compared. Pairs that
-survive are verified on their full n-gram sets.
-
-One tree over everything would be searched whole by every query (in high dimension a
-node's upper corner soon exceeds every point), so the trees are split by signature: a
-pair meets under each of BANDS keys, of two min-wise n-grams each, that its members
-share. A pair at Jaccard j is missed with probability (1 - j * j) ** BANDS: 0.02 at
-0.5, 0.002 at 0.6. It is compared under the first key that it shares, so once.
+"""N-gram Jaccard self-join of documents: every pair of different n-gram sets that meets the threshold is found.
+
+Each n-gram is counted over all documents; hashes of 42 bits do, for a collision only adds a
+candidate. A document can reach threshold t only if t of its n-grams occur elsewhere too, so most
+documents leave here. Of the others, the repeated n-grams are put in one order for all, rarest
+first. Two sets that meet the threshold share at least t of the n-grams of either, so the first
+that they share lies among the first c - ceil(t * n) + 1 of either's c repeated ones: its prefix.
+Sets are paired under each n-gram of both prefixes, unless their sizes, what is left of them from
+there, or an equal n-gram just before (they meet there already) rule it out. Pairs are verified on
+their full n-gram sets.
 """
 
 from __future__ import annotations
@@ -19,16 +16,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm._shared import DOCUMENTS, documents, only, row_key, small, spread_join, stored
 from sylva.llm._tokens import binaries, mix, ngrams, over, sets, slices, tokenize
 from sylva.llm.components import components
 
-NGRAM, THRESHOLD, GROUPS, BANDS = 3, 0.5, 128, 14
+NGRAM, THRESHOLD = 3, 0.5
 _LEAF, _TILE_PAIRS = 32, 200_000
-_FACTORS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64), 101) | np.uint64(1)
+#: Bits of an n-gram's hash that choose its part, in which it is counted; 32 more tell it from others there.
+_PART_BITS = 10
+#: Documents of one batch, at most; 16 bits number them.
+_BATCH = 1 << 16
+_SPREAD = "part int, batch bigint, at int, doc_id bigint, row string, sid binary, size int, data binary"
+_ENTRY = np.dtype([("gram", "<u8"), ("before", "<u8"), ("node", "<i8"), ("size", "<u4"), ("left", "<u4")])
 
 
 class CountRTree:
@@ -65,56 +68,117 @@ class CountRTree:
         return at[np.minimum(self.points[at], q).sum(1) >= share * (n + self.sizes[at]) - 1e-9]
 
 
-def _packed(counts: np.ndarray) -> np.ndarray:
-    """Counts in a byte each, and last, in four, the sum of what exceeds 255 in any: that sum's minimum
-    bounds the overlap of the excesses, so bounds from packed points hold as well."""
-    over_byte = np.maximum(counts - 255, 0).sum(1).astype("<u4")
-    return np.concatenate([np.minimum(counts, 255).astype(np.uint8), over_byte[:, None].view(np.uint8)], 1)
+def _rows(schema: str, n: int, **columns: object) -> pa.RecordBatch:
+    """A batch of n rows: the given columns, nulls in the others of the schema."""
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    named = [x.split() for x in schema.split(", ")]
+    return pa.record_batch({c: pa.nulls(n, kinds[k]) if columns.get(c) is None else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], kinds[k]) for c, k in named})
 
 
-def _unpacked(points: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(points), np.uint8).reshape(-1, GROUPS + 4)
-    return np.concatenate([raw[:, :GROUPS].astype(np.int32), np.ascontiguousarray(raw[:, GROUPS:]).view("<u4").astype(np.int32)], 1)
-
-
-def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document with a word, and for each batch and part the n-grams: 32 bits of hash and the document's distance from the one before."""
+    number = TaskContext.get().partitionId() << 32
     for whole in batches:
-        for b in slices(whole, "text"):
-            grams, offs = sets(*(lambda g: (g[0], g[2]))(ngrams(tokenize(b.column("text")), NGRAM)))
-            some = np.diff(offs) > 0
-            if not some.any():
+        for most in slices(whole, "text", 1 << 22):
+            for first in range(0, most.num_rows, _BATCH):
+                b = most.slice(first, _BATCH)
+                cuts = [(sets(*(lambda g: (g[0], g[2]))(ngrams(tokenize(x.column("text")), NGRAM)))) for x in slices(b, "text")]
+                grams = np.concatenate([g for g, _ in cuts])
+                size = np.concatenate([np.diff(o) for _, o in cuts])
+                if not len(grams):
+                    continue
+                offs = np.concatenate([[0], np.cumsum(size)])
+                some = np.flatnonzero(size)
+                sid = np.stack([mix(over(np.add, mix(grams, seed), offs, 0) + size.astype(np.uint64), seed) for seed in (7, 19)], 1)
+                at = pa.array(some)
+                number += 1
+                yield _rows(_SPREAD, len(some), part=some % (1 << _PART_BITS), batch=np.full(len(some), number), at=some, doc_id=b.column("doc_id").take(at), row=b.column("row").take(at), sid=binaries(sid[some].ravel(), np.arange(len(some) + 1) * 2), size=size[some])
+                part = (grams >> np.uint64(64 - _PART_BITS)).astype(np.int16)
+                order = np.argsort(part, kind="stable")
+                part, low, doc = part[order], grams[order].astype(np.uint32), np.repeat(np.arange(len(size)), size)[order]
+                starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                step = np.diff(doc, prepend=0)
+                step[starts] = doc[starts]
+                low, near, far = low.view(np.uint8), (step & 255).astype(np.uint8), (step >> 8).astype(np.uint8)
+                ends = np.append(starts[1:], len(part))
+                data = [low[4 * s : 4 * e].tobytes() + near[s:e].tobytes() + far[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
+                yield _rows(_SPREAD, len(starts), part=part[starts].astype(np.int32), batch=np.full(len(starts), number), data=data)
+
+
+def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part's n-grams those that several documents have, with the logarithm of how many; rows of documents as they are."""
+    for t in _groups(batches, "part"):
+        parts, data = t.column("part").to_numpy(), t.column("data")
+        counted = data.is_valid().to_numpy()
+        if not counted.all():
+            yield from t.filter(pa.array(~counted)).combine_chunks().to_batches()
+        starts = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        for s, e in zip(starts, np.append(starts[1:], len(parts)), strict=True):
+            rows = s + np.flatnonzero(counted[s:e])
+            if not len(rows):
                 continue
-            doc = np.repeat(np.arange(len(some)), np.diff(offs))
-            counts = np.bincount(doc * GROUPS + (grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(some) * GROUPS).reshape(-1, GROUPS)
-            least = np.stack([over(np.minimum, grams * f, offs, 0) for f in _FACTORS], 1)
-            bands = mix(least[:, 0::2] * _FACTORS[0] + mix(least[:, 1::2]) + np.arange(BANDS, dtype=np.uint64))
-            some = np.flatnonzero(some)
-            size = np.diff(offs)
-            sid = np.stack([mix(over(np.add, mix(grams, seed), offs, 0) + size.astype(np.uint64), seed) for seed in (7, 19)], 1)
-            at = pa.array(some)
-            each = np.arange(len(some) + 1)
-            yield pa.record_batch(
-                {
-                    "doc_id": b.column("doc_id").take(at),
-                    "row": b.column("row").take(at),
-                    "sid": binaries(sid[some].ravel(), each * 2),
-                    "point": binaries(_packed(counts[some]).ravel(), each * (GROUPS + 4)),
-                    "keys": pa.ListArray.from_arrays(pa.array(each * BANDS, pa.int32()), pa.array(bands[some].ravel().view(np.int64))),
-                }
-            )
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """A row for each document with a word: doc_id, row key, 128-bit hash of its n-gram set (sid), count vector and band keys."""
+            raw = [np.frombuffer(data[int(i)].as_buffer(), np.uint8) for i in rows]
+            lens = np.array([len(x) // 6 for x in raw])
+            low = np.concatenate([x[: 4 * n].view("<u4") for x, n in zip(raw, lens, strict=True)])
+            order = np.argsort(low)
+            new = np.flatnonzero(np.concatenate([[True], low[order[1:]] != low[order[:-1]]]))
+            times = np.empty(len(low), np.int64)
+            times[order] = np.repeat(np.diff(np.append(new, len(low))), np.diff(np.append(new, len(low))))
+            doc = np.concatenate([np.cumsum(x[4 * n : 5 * n].astype(np.int64) + (x[5 * n :].astype(np.int64) << 8)) for x, n in zip(raw, lens, strict=True)])
+            many = times > 1
+            kept = np.add.reduceat(many.astype(np.int64), np.concatenate([[0], np.cumsum(lens)[:-1]]))
+            cut = np.concatenate([[0], np.cumsum(kept)])
+            low, doc, rank = low[many].view(np.uint8), doc[many].astype("<u2").view(np.uint8), np.log2(times[many]).astype(np.uint8)
+            has = np.flatnonzero(kept)
+            out = [low[4 * x : 4 * y].tobytes() + doc[2 * x : 2 * y].tobytes() + rank[x:y].tobytes() for x, y in zip(cut[has], cut[has + 1], strict=True)]
+            if out:
+                yield _rows(_SPREAD, len(out), part=parts[rows[has]], batch=t.column("batch").to_numpy()[rows[has]], data=out)
+
+
+def _prefixes(threshold: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "batch"):
+            batch, data = t.column("batch").to_numpy(), t.column("data")
+            counted = data.is_valid().to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]]))
+            for s, e in zip(starts, np.append(starts[1:], len(batch)), strict=True):
+                docs = t.slice(s, e - s).filter(pa.array(~counted[s:e])).combine_chunks()
+                rows = s + np.flatnonzero(counted[s:e])
+                raw = [np.frombuffer(data[int(i)].as_buffer(), np.uint8) for i in rows]
+                lens = [len(x) // 7 for x in raw]
+                none = [np.zeros(0, np.uint8)]
+                low = np.concatenate([x[: 4 * n] for x, n in zip(raw, lens, strict=True)] + none).view("<u4")
+                doc = np.concatenate([x[4 * n : 6 * n] for x, n in zip(raw, lens, strict=True)] + none).view("<u2")
+                rank = np.concatenate([x[6 * n :] for x, n in zip(raw, lens, strict=True)] + none)
+                gram = np.repeat(t.column("part").to_numpy()[rows].astype(np.uint64) << np.uint64(32), lens) | low
+                order = np.lexsort((gram, rank, doc))
+                gram, doc = gram[order], doc[order]
+                at, size = docs.column("at").to_numpy(), docs.column("size").to_numpy()
+                first, last = np.searchsorted(doc, at), np.searchsorted(doc, at, "right")
+                shared = last - first
+                prefix = np.maximum(shared - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
+                cut = np.concatenate([[0], np.cumsum(prefix)])
+                taken = gram[np.arange(cut[-1]) + np.repeat(first - cut[:-1], prefix)]
+                yield pa.record_batch([*(docs.column(c).combine_chunks() for c in ("doc_id", "row", "sid", "size")), pa.array(shared.astype(np.int32)), binaries(taken, cut)], ["doc_id", "row", "sid", "size", "shared", "prefix"])
+
+    return run
+
+
+def signatures(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each document with a word: doc_id, row key, 128-bit hash of its n-gram set (sid), the set's size,
+    how many of it other documents have (shared) and the rarest of these, of which two sets that meet the threshold share one (prefix)."""
     d = only(docs, "doc_id", "text")
     d = d.select(F.col("doc_id").cast("bigint"), row_key(d).alias("row"), F.col("text").cast("string"))
-    return d.mapInArrow(_sign, "doc_id bigint, row string, sid binary, point binary, keys array<bigint>")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = d.mapInArrow(_spread, _SPREAD).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_repeated, _SPREAD)
+    many = many.repartition(parts, "batch").sortWithinPartitions("batch")
+    return many.mapInArrow(_prefixes(threshold), "doc_id bigint, row string, sid binary, size int, shared int, prefix binary")
 
 
 def distinct_sets(signed: DataFrame) -> DataFrame:
-    """A row for each n-gram set: a number (node), its hash, rows, least of them in order of doc_id and row, count vector and band keys."""
+    """A row for each n-gram set: a number (node), its hash, rows, least of them in order of doc_id and row, size, shared n-grams and prefix."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    one = signed.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best"), F.first("point").alias("point"), F.first("keys").alias("keys"))
+    one = signed.groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best"), *(F.first(c).alias(c) for c in ("size", "shared", "prefix")))
     return stored(one.withColumn("node", F.monotonically_increasing_id()), "sets")
 
 
@@ -139,38 +203,81 @@ def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
+def _entries(parts: int):
+    """The n-grams of each prefix, with the one before, the set's node and size and how many of its shared n-grams are left, by parts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "prefix", 1 << 21):
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("prefix")]
+                lens = np.array([len(x) for x in own])
+                out = np.zeros(lens.sum(), _ENTRY)
+                if not len(out):
+                    continue
+                out["gram"] = np.concatenate(own)
+                starts = (np.cumsum(lens) - lens)[lens > 0]
+                out["before"][1:] = out["gram"][:-1]
+                out["node"], out["size"] = np.repeat(b.column("node").to_numpy(), lens), np.repeat(b.column("size").to_numpy(), lens)
+                # a first n-gram has none before, and no two sets may seem to have the same
+                out["before"][starts] = ~out["node"][starts].view(np.uint64)
+                out["left"] = np.repeat(b.column("shared").to_numpy(), lens) - (np.arange(len(out)) - np.repeat(np.cumsum(lens) - lens, lens))
+                part = (mix(out["gram"]) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part, out = part[order], out[order]
+                cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                yield pa.record_batch({"part": pa.array(part[cut]), "entries": pa.array([out[s:e].tobytes() for s, e in zip(cut, np.append(cut[1:], len(part)), strict=True)], pa.binary())})
+
+    return run
+
+
 def _candidates(threshold: float):
     share = threshold / (1 + threshold)
 
+    def met(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = x[i], x[j]
+        ok = (a["before"] != b["before"]) & (np.minimum(a["left"], b["left"]) >= share * (a["size"].astype(np.int64) + b["size"]) - 1e-9)
+        m, n = a["node"][ok], b["node"][ok]
+        return np.stack([np.minimum(m, n), np.maximum(m, n)], 1)
+
+    def pairs(x: np.ndarray) -> Iterator[np.ndarray]:
+        x = x[np.lexsort((x["size"], x["gram"]))]
+        starts = np.flatnonzero(np.concatenate([[True], x["gram"][1:] != x["gram"][:-1]]))
+        lens = np.diff(np.append(starts, len(x)))
+        for n in np.unique(lens[(lens > 1) & (lens <= 2 * _LEAF)]):
+            i, j = np.triu_indices(n, 1)
+            at = starts[lens == n]
+            for some in np.array_split(at, (len(at) * len(i) >> 17) + 1):
+                yield met(x, (some[:, None] + i).ravel(), (some[:, None] + j).ravel())
+        for s, n in zip(starts[lens > 2 * _LEAF], lens[lens > 2 * _LEAF], strict=True):
+            end = s + np.searchsorted(x["size"][s : s + n], x["size"][s : s + n] / threshold + 1e-9, "right")
+            for i in range(s, s + n - 1):
+                for k in range(i + 1, int(end[i - s]), 1 << 17):
+                    j = np.arange(k, min(k + (1 << 17), int(end[i - s])))
+                    yield met(x, np.full(len(j), i), j)
+
+    def once(held: list[np.ndarray]) -> np.ndarray:
+        found = np.concatenate(held)
+        found = found[np.lexsort((found[:, 1], found[:, 0]))]
+        return found[np.concatenate([[True], (found[1:] != found[:-1]).any(1)])] if len(found) else found
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, "key"):
-            key, sid = t.column("key").to_numpy(), t.column("node").to_numpy()
-            points = _unpacked(t.column("point").to_pylist())
-            bands = t.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            sizes = points.sum(1)
-
-            def met(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-                same = bands[a] == bands[b]
-                here = bands[a, same.argmax(1)] == key[a]
-                if here.any():
-                    x, y = sid[a[here]], sid[b[here]]
-                    yield pa.record_batch({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
-
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            lens = np.diff(np.append(starts, len(key)))
-            for n in np.unique(lens[(lens > 1) & (lens <= 2 * _LEAF)]):
-                i, j = np.triu_indices(n, 1)
-                at = starts[lens == n]
-                for some in np.array_split(at, (len(at) * len(i) >> 15) + 1):
-                    a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                    ok = np.minimum(points[a], points[b]).sum(1) >= share * (sizes[a] + sizes[b]) - 1e-9
-                    yield from met(a[ok], b[ok])
-            for s, n in zip(starts[lens > 2 * _LEAF], lens[lens > 2 * _LEAF], strict=True):
-                tree = CountRTree(points[s : s + n])
-                for i in range(n):
-                    at = tree.query(i, threshold)
-                    at = at[at > i]
-                    yield from met(np.full(len(at), s + i), s + at)
+        for t in _groups(batches, "part"):
+            part = t.column("part").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            for s, e in zip(starts, np.append(starts[1:], len(part)), strict=True):
+                held, n = [], 0
+                for p in pairs(np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in t.column("entries").slice(s, e - s)])):
+                    held.append(p)
+                    n += len(p)
+                    if n >= 1 << 21:
+                        held = [once(held)]
+                        n = len(held[0])
+                        if n >= 1 << 20:
+                            yield pa.record_batch({"a": pa.array(held[0][:, 0]), "b": pa.array(held.pop()[:, 1])})
+                            n = 0
+                if held:
+                    found = once(held)
+                    yield pa.record_batch({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return run
 
@@ -225,12 +332,10 @@ def _verify(threshold: float):
 
 def set_pairs(docs: DataFrame, one: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, jaccard) for each pair of nodes, distinct n-gram sets, of at least the threshold, a < b."""
-    keys = one.select("node", F.explode("keys").alias("key"))
-    keys = stored(keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1").select("key", "node"), "keys")
-    points = one.select("node", "point", "keys").join(keys.select("node").distinct(), "node", "left_semi")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = keys.join(points, "node").repartition(parts, "key").sortWithinPartitions("key")
-    pairs = stored(met.mapInArrow(_candidates(threshold), "a bigint, b bigint"), "pairs")
+    able = one.filter("octet_length(prefix) > 0").select("node", "size", "shared", "prefix")
+    met = able.mapInArrow(_entries(parts), "part int, entries binary").repartition(parts, "part").sortWithinPartitions("part")
+    pairs = stored(met.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct(), "pairs")
 
     near = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     hubs = stored(near.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("hub")), "hubs")
@@ -265,7 +370,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     take no part. A doc_id on several texts has a row for each n-gram set; repeated rows count
     once. An empty table gives no rows.
     """
-    signed = stored(signatures(only(docs, "doc_id", "text").filter("doc_id is not null")).dropDuplicates(["doc_id", "sid"]), "signed")
+    signed = stored(signatures(only(docs, "doc_id", "text").filter("doc_id is not null"), threshold).dropDuplicates(["doc_id", "sid"]), "signed")
     one = distinct_sets(signed)
     pairs = stored(set_pairs(docs, one, threshold).select("a", "b"), "links")
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -285,7 +390,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     that repeat in doc_id and text one stays. The result has the columns of documents; an empty table gives an empty one.
     """
     docs = only(docs, *DOCUMENTS)
-    signed = stored(signatures(docs), "signed")
+    signed = stored(signatures(docs, threshold), "signed")
     one = distinct_sets(signed)
     grouped = stored(_grouped(one, set_pairs(docs, one, threshold)).select("sid", "n", "best", "component"), "grouped")
     stay = grouped.groupBy("component").agg(F.min("best").alias("stay"))

@@ -110,6 +110,21 @@ def test_few_links_are_missed(spark):
     assert all(got[d] <= want[d] for d in got) and sum(got.values()) >= 0.97 * sum(want.values())
 
 
+def test_no_link_at_the_threshold_is_missed(spark):
+    rng = random.Random(2)
+    texts = []
+    for _ in range(100):
+        t = prose(rng, 60)
+        texts.append(t)
+        for _ in range(4):
+            w = t.split()
+            for _ in range(7):
+                w[rng.randrange(60)] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard_join.classes(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == brute_classes(list(enumerate(texts)))
+
+
 def test_tree_misses_nothing():
     rng = np.random.default_rng(0)
     points = rng.integers(0, 3, (300, 16))
