@@ -130,6 +130,55 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / (new_a.sum(1) + new_b.sum(1) - both)
 
 
+def _connecting(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of alike rows of sorted shingles that connect all rows that alike ones connect.
+
+    Alike rows share THRESHOLD of the shingles of either, so one of the rarest 1 - THRESHOLD of both (and one more);
+    rows are compared only under these, and no more under a shingle whose holders are connected already.
+    """
+    n = len(own)
+    words, code = np.unique(own, return_inverse=True)
+    code = code.reshape(n, -1)
+    new = np.concatenate([np.ones((n, 1), bool), own[:, 1:] != own[:, :-1]], 1)
+    distinct = new.sum(1)
+    rank = np.where(new, np.bincount(code[new], minlength=len(words))[code] * len(words) + code, np.iinfo(np.int64).max)
+    rare = np.take_along_axis(code, np.argsort(rank, 1), 1)
+    holder, at = np.nonzero(np.arange(code.shape[1]) <= (distinct - np.ceil(THRESHOLD * distinct - 1e-9))[:, None])
+    word = rare[holder, at]
+    several = np.bincount(word, minlength=len(words))[word] > 1
+    holder, word = holder[several], word[several]
+    of_row = np.searchsorted(holder, np.arange(n + 1))
+    order = np.argsort(word, kind="stable")
+    by_word, bound = holder[order], np.searchsorted(word[order], np.arange(len(words) + 1))
+    closed, marked = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    group, members = np.arange(n), {}
+    left, right = [], []
+    for i in np.unique(holder):
+        met = []
+        for c in word[of_row[i] : of_row[i + 1]]:
+            if not closed[c]:
+                k = by_word[bound[c] : bound[c + 1]]
+                other = k[group[k] != group[i]]
+                closed[c] = not len(other)
+                met.append(other[other > i])
+        k = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+        if not len(k):
+            continue
+        marked[code[i]] = True
+        both = (marked[code[k]] & new[k]).sum(1)
+        marked[code[i]] = False
+        k = k[both / (distinct[i] + distinct[k] - both) >= THRESHOLD]
+        _, first = np.unique(group[k], return_index=True)
+        for j in k[first]:
+            left.append(i)
+            right.append(j)
+            less, more = sorted((group[i], group[j]), key=lambda g: len(members.get(g, (g,))))
+            moved = members.pop(less, [less])
+            group[moved] = more
+            members.setdefault(more, [more]).extend(moved)
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
 def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Verified pairs; of a large group those that first connect its members."""
     for t in _groups(batches, "key"):
@@ -147,25 +196,9 @@ def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left.append(ph[x[ok]])
                 right.append(ph[y[ok]])
         for s, n in zip(starts[size > _FEW], size[size > _FEW], strict=True):
-            own = shingles[s : s + n]
-            words, code = np.unique(own, return_inverse=True)
-            code = code.reshape(n, _SHINGLES)
-            new = np.concatenate([np.ones((n, 1), bool), own[:, 1:] != own[:, :-1]], 1)
-            distinct = new.sum(1)
-            holder, word = np.nonzero(new)
-            word = code[holder, word]
-            order = np.argsort(word, kind="stable")
-            holder, bound = holder[order], np.searchsorted(word[order], np.arange(len(words) + 1))
-            group = np.arange(n)
-            for i in range(n - 1):
-                both = np.bincount(np.concatenate([holder[bound[c] : bound[c + 1]] for c in code[i][new[i]]]), minlength=n)
-                k = np.flatnonzero(both / (distinct[i] + distinct - both) >= THRESHOLD)
-                k = k[(k > i) & (group[k] != group[i])]
-                if len(k):
-                    _, first = np.unique(group[k], return_index=True)
-                    left.append(np.full(len(first), ph[s + i]))
-                    right.append(ph[s + k[first]])
-                    group[np.isin(group, group[k])] = group[i]
+            x, y = _connecting(shingles[s : s + n])
+            left.append(ph[s + x])
+            right.append(ph[s + y])
         if left:
             yield pa.record_batch({"a": pa.array(np.concatenate(left), pa.int64()), "b": pa.array(np.concatenate(right), pa.int64())})
 

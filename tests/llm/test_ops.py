@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -338,6 +339,49 @@ def test_spans_against_all_pairs_of_paragraphs(spark):
     assert not any(30 <= d < 36 for d, _ in got)
 
 
+def linked_groups(shingles):
+    batch = pa.record_batch({"key": pa.array(np.zeros(len(shingles), np.int64)), "ph": pa.array(np.arange(len(shingles))), "shingles": pa.array([x.tobytes() for x in shingles], pa.binary())})
+    root = list(range(len(shingles)))
+    for b in paragraphs._linked([batch]):
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+    for i in range(len(root)):
+        root[i] = root[root[i]]
+    return root
+
+
+def test_large_group_against_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 60, (40, paragraphs._SHINGLES), dtype=np.uint32)
+    shingles = np.repeat(base, 10, 0)
+    change = rng.random(shingles.shape) < 0.15
+    shingles[change] = rng.integers(0, 5000, change.sum(), dtype=np.uint32)
+    shingles[:, 0] = 7
+    got = linked_groups(shingles)
+    sets = [set(x.tolist()) for x in shingles]
+    want = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= paragraphs.THRESHOLD and want[i] != want[j]:
+            low, high = sorted((want[i], want[j]))
+            want = [low if w == high else w for w in want]
+    assert got == want and 40 < len(set(want)) < 400
+
+
+def test_large_group_takes_no_quadratic_time():
+    took = []
+    for n in (4_000, 16_000):
+        shingles = np.random.default_rng(n).integers(0, 1 << 31, (n, paragraphs._SHINGLES), dtype=np.uint32)
+        shingles[:, :8] = np.arange(8)  # a line that all of them hold
+        began = time.process_time()
+        assert linked_groups(shingles) == list(range(n))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_repeated_passage_is_one_span(spark):
     rng = random.Random(12)
     passages = [prose(rng, 400) for _ in range(4)]
