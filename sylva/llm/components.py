@@ -40,10 +40,10 @@ def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def thin() -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        kind = t.schema.field("a").type
         one = list(_joined(pa.RecordBatch.from_arrays([t.column("a").combine_chunks(), t.column("b").combine_chunks()], ["u", "v"]) for _ in (0,)))[0]
         tree = pa.compute.not_equal(one.column("node"), one.column("component"))
-        return pa.record_batch([one.column("component").filter(tree).cast(kind), one.column("node").filter(tree).cast(kind)], ["a", "b"])
+        # the very schema of what came in, nullability too: the next batches join this one in a table
+        return pa.record_batch([one.column(c).filter(tree).cast(f.type) for c, f in zip(("component", "node"), t.schema, strict=True)], schema=t.schema)
 
     for b in batches:
         if b.num_rows:

@@ -145,6 +145,16 @@ def test_components_both_ways(spark, monkeypatch):
     assert sorted(map(tuple, components.components(df).collect())) == one
 
 
+def test_forest_goes_on_with_what_its_first_edges_shrank_to(monkeypatch):
+    """Spark's batches say of such columns that they can't be null."""
+    monkeypatch.setattr(components, "ONE_TASK", 8)
+    for kind, make_id in ((pa.int64(), int), (pa.string(), str)):
+        schema = pa.schema([pa.field("a", kind, False), pa.field("b", kind, False)])
+        batch = pa.record_batch([pa.array([make_id(i % 3) for i in range(6)], kind), pa.array([make_id(i % 3 + 1) for i in range(6)], kind)], schema=schema)
+        out = pa.Table.from_batches(list(components.forest(iter([batch] * 20))))
+        assert out.to_pylist() == [{"a": make_id(0), "b": make_id(i)} for i in (1, 2, 3)]
+
+
 def test_components_of_a_large_random_graph(spark, monkeypatch):
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 3000, (2, 2500))
