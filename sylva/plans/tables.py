@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva.plans.pattern import File, PatternSyntaxError, parse
 from sylva.plans.scopes import DataFlow, Scopes
-from sylva.sources.frontends import tree
+from sylva.sources.frontends import per_source, source_key, tree
 from sylva.sources.syntax import Lines
 
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
@@ -21,14 +21,7 @@ def per_file(files: DataFrame, columns: str, rows_of: Callable[[File], Iterable[
     schema = pa.schema([("file_id", pa.int64()), *((x.rsplit(" ", 1)[0], _TYPES[x.rsplit(" ", 1)[1]]) for x in columns.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held: list[tuple] = []
-            for file_id, lang, source in zip(*(b.column(c).to_pylist() for c in ("file_id", "lang", "source")), strict=True):
-                got = tree(lang, source)
-                if got:
-                    held += [(file_id, *r) for r in rows_of(File(*got))]
-            if held:
-                yield pa.record_batch([pa.array(c, x.type) for c, x in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        return per_source(batches, ["file_id", "lang", "source"], 1, schema, source_key, lambda lang, source: rows_of(File(*tree(lang, source))))
 
     return files.select("file_id", "lang", "source").mapInArrow(run, f"file_id bigint, {columns}")
 

@@ -4,6 +4,7 @@ import random
 import re
 import subprocess
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -470,3 +471,43 @@ def test_driver_contract_has_no_orphans():
     from sylva import queries as own
 
     assert set(own.SQL) <= set(own.QUERIES) and "flagship" in own.QUERIES
+
+
+# larger tables
+def batches_of(rows, at_once=10_000):
+    t = pa.table({"file_id": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()), "source": pa.array([r[2] for r in rows], pa.string())})
+    return t.to_batches(max_chunksize=at_once)
+
+
+PAIRS = pa.schema([("file_id", pa.int64()), ("word", pa.string())])
+
+
+def test_equal_sources_are_read_once():
+    read = []
+
+    def words(lang, source):
+        read.append(source)
+        return [(x,) for x in source.split()]
+
+    rows = [(i, "python" if i % 7 else "unknown", None if i % 5 == 0 else "a b" if i % 2 else "") for i in range(3000)]
+    got = [tuple(r.values()) for b in frontends.per_source(batches_of(rows, 100), ["file_id", "lang", "source"], 1, PAIRS, frontends.source_key, words) for r in b.to_pylist()]
+    assert got == [(i, x) for i, lang, s in rows if lang == "python" and s for x in s.split()]
+    assert sorted(read) == ["", "a b"]
+
+
+def test_what_is_kept_of_sources_is_bounded(monkeypatch):
+    monkeypatch.setattr(frontends, "KEPT", 3000)
+    read = []
+    rows = [(i, "python", f"w{i % 100} x") for i in range(400)]
+    got = [tuple(r.values()) for b in frontends.per_source(batches_of(rows), ["file_id", "lang", "source"], 1, PAIRS, frontends.source_key, lambda lang, s: read.append(s) or [(x,) for x in s.split()]) for r in b.to_pylist()]
+    assert got == [(i, x) for i, _, s in rows for x in s.split()]
+    assert len(read) == 400  # each was dropped before it came again
+
+
+def test_tasks_of_spread_follow_the_table(spark, tmp_path, monkeypatch):
+    from sylva import queries
+
+    spark.range(20_000).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(queries, "PART", 1 << 14)
+    few, many = (queries.spread(spark.read.parquet(str(tmp_path / "t")).filter(f)).rdd.getNumPartitions() for f in ("false", "true"))
+    assert few == spark.sparkContext.defaultParallelism < many
