@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from collections import OrderedDict
 from collections.abc import Callable, Hashable, Iterable, Iterator
@@ -37,8 +38,8 @@ PARSERS: dict[str, Callable[[str], object]] = {
 NODES = "file_id bigint, lang string, node_id int, parent_id int, kind string, is_named boolean, field string, child_ix int, named_ix int, n_named int, depth int, pre int, subtree_end int, start_byte int, end_byte int, start_row int, start_col int, end_row int, end_col int, text string"
 #: Bytes up to which a node's text is in the table; that of a longer inner node is the source between its bytes.
 SHORT = 256
-#: Files that are taken from a batch at once; rows and bytes, by estimate, from which on a batch goes out; bytes of the last results that a task keeps for equal sources, and the length from which on a source's result isn't kept.
-AT_ONCE, ROWS, BYTES, KEPT, LONG = 64, 20_000, 4 << 20, 16 << 20, 1 << 16
+#: Files that are taken from a batch at once; rows and bytes, by estimate, from which on a batch goes out; bytes of the last results that a task keeps for equal sources, the length from which on a source's result isn't kept, and that from which on memory is cleared first.
+AT_ONCE, ROWS, BYTES, KEPT, LONG, HUGE = 64, 20_000, 4 << 20, 16 << 20, 1 << 16, 1 << 20
 
 
 def tree(lang: str, source: str | bytes | None) -> tuple[N, str] | None:
@@ -87,8 +88,9 @@ def per_source(batches: Iterable[pa.RecordBatch], columns: list[str], n_own: int
 
     for b in batches:
         some = b.select(columns)
-        for start in range(0, b.num_rows, AT_ONCE):
-            for file in zip(*(c.to_pylist() for c in some.slice(start, AT_ONCE).columns), strict=True):
+        at_once = max(1, min(AT_ONCE, BYTES * b.num_rows // max(1, some.nbytes)))
+        for start in range(0, b.num_rows, at_once):
+            for file in zip(*(c.to_pylist() for c in some.slice(start, at_once).columns), strict=True):
                 key = key_of(*file[1:])
                 if key is None:
                     continue
@@ -98,7 +100,10 @@ def per_source(batches: Iterable[pa.RecordBatch], columns: list[str], n_own: int
                     if n:
                         add(file[:n_own], made, n)
                 else:
-                    rows, whole = iter(rows_of(*key)), len(file[-1]) < LONG
+                    whole = len(file[-1]) < LONG
+                    if len(file[-1]) > HUGE:
+                        gc.collect()  # trees are cyclic: the one before goes first
+                    rows = iter(rows_of(*key))
                     while part := list(rows if whole else islice(rows, ROWS)):
                         made, n = list(zip(*part, strict=True)), len(part)
                         mass = sum(map(weight, made))

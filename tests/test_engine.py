@@ -531,3 +531,23 @@ def test_spread_by_columns_brings_equal_values_side_by_side(spark):
     parts = spread(spark.range(4000).selectExpr("id", "id % 97 AS k"), "k").rdd.map(lambda r: r.k).glom().collect()
     seen = [k for p in parts for i, k in enumerate(p) if not i or p[i - 1] != k]
     assert sorted(seen) == list(range(97)) and sum(map(len, parts)) == 4000
+
+
+def test_files_of_a_nation_dont_grow_with_its_customers(spark, tmp_path, monkeypatch):
+    from sylva import queries
+
+    spark.range(400).selectExpr("id AS c_custkey", "cast(id % 2 AS int) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(900).selectExpr("id AS o_orderkey", "id % 600 AS o_custkey", "if(id % 3 = 0, 300000.0D, 1.0D) AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    used, files = {i % 600 for i in range(0, 900, 3)}, []
+    monkeypatch.setattr(queries, "_KEYS", 50)
+    monkeypatch.setattr(queries, "check", lambda f, c: files.append(f) or check(f, c))
+    got = sorted(tuple(r) for r in queries.unused_declarations(spark, str(tmp_path)).collect())
+    assert got == sorted((i % 2, f'unused import "c{i}"') for i in range(400) if i not in used)
+    assert max(r.source.count("import") for r in files[0].collect()) == 25
+
+
+def test_batches_are_bounded_in_rows_and_long_files_go_out_in_parts():
+    long = "a " * 70_000
+    rows = [(0, "python", long), *((i, "python", "x y z") for i in range(1, 30_000))]
+    out = list(frontends.per_source(batches_of(rows), ["file_id", "lang", "source"], 1, PAIRS, frontends.source_key, lambda lang, s: ((x,) for x in s.split())))
+    assert sum(b.num_rows for b in out) == 70_000 + 3 * 29_999 and max(b.num_rows for b in out) < frontends.ROWS + 3
