@@ -69,10 +69,11 @@ def matches(files: DataFrame, text: str, report: str) -> DataFrame:
         lines = Lines(f.src)
         for p in patterns:
             for b in f.matches(p):
-                flat = [x for c, n in b for x in (c, f.text(n))]
-                for c, n in b:
+                texts = [f.text(n) for _, n in b]
+                flat = [x for (c, _), text in zip(b, texts, strict=True) for x in (c, text)]
+                for (c, n), text in zip(b, texts, strict=True):
                     if c == report:
-                        yield *lines.at(n.start), f.text(n), flat
+                        yield *lines.at(n.start), text, flat
 
     return per_file(files, "row int, col int, text string, captures array<string>", own)
 
